@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairframe.llm import bpe, exact_dedup, quality_model, quality_rules, secrets
+from pairframe.llm import bpe, chat, exact_dedup, packing, quality_model, quality_rules, secrets
 from pairframe.llm.common import table
 
 
+def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1)
+    crc = F.crc32("ids").alias("ids_crc32")
+    return pieces.select("doc_id", "source", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -38,5 +46,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_byte_bpe, op4_quality_classifier, op5_secret_scans, op6_quality_rules)}
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chat.format_chats(table(spark, sf_dir, "conversations"))
+    return made.select("conv_id", "n_turns", "cost", "n_merged", "n_relabelled", "n_inserted", F.array_join("roles", ",").alias("roles"), "rendered")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_exact_dedup, op3_byte_bpe, op4_quality_classifier, op5_secret_scans, op6_quality_rules, op9_chat_formatting)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
