@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairframe.llm.common import ascii_lower
+from pairframe.llm.common import ascii_lower, fresh
 
 #: Bits of the filter between the scans: 4 MB at most, whatever the corpus.
 BITS = 1 << 25
@@ -85,6 +85,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with their columns. Text is shuffled once, by keys that no two kept rows share."""
+    key, digest = fresh(docs, "__id", "__sha")
+    kept = exact_dedup(docs, id_col, text_col, digest_all=True).filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"))
+    rows = docs.withColumn(key, F.col(f"`{id_col}`")).withColumn(digest, full_hash(F.col(f"`{text_col}`")))
+    found = rows.join(kept, rows[key].eqNullSafe(kept["__kept_id"]) & (rows[digest] == kept["__kept_sha"]), "left_semi")
+    return found.dropDuplicates([key, digest]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 ORACLE = """
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairframe.llm import bpe, chat, exact_dedup, packing, quality_model, quality_rules, secrets, substring_dedup
+from pairframe.llm import bpe, chat, exact_dedup, jaccard_join, packing, quality_model, quality_rules, secrets, substring_dedup
 from pairframe.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -56,5 +60,5 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("conv_id", "n_turns", "cost", "n_merged", "n_relabelled", "n_inserted", F.array_join("roles", ",").alias("roles"), "rendered")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_exact_dedup, op3_byte_bpe, op4_quality_classifier, op5_secret_scans, op6_quality_rules, op8_substring_dedup, op9_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_exact_dedup, op3_byte_bpe, op4_quality_classifier, op5_secret_scans, op6_quality_rules, op7_jaccard_join, op8_substring_dedup, op9_chat_formatting)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
