@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairframe.llm import bpe, chat, exact_dedup, jaccard_join, packing, quality_model, quality_rules, secrets, substring_dedup
+from pairframe.llm import bpe, chat, exact_dedup, jaccard_join, katz, packing, quality_model, quality_rules, secrets, substring_dedup
 from pairframe.llm.common import table
 
 
@@ -60,5 +60,9 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("conv_id", "n_turns", "cost", "n_merged", "n_relabelled", "n_inserted", F.array_join("roles", ",").alias("roles"), "rendered")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_exact_dedup, op3_byte_bpe, op4_quality_classifier, op5_secret_scans, op6_quality_rules, op7_jaccard_join, op8_substring_dedup, op9_chat_formatting)}
+def op10_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_exact_dedup, op3_byte_bpe, op4_quality_classifier, op5_secret_scans, op6_quality_rules, op7_jaccard_join, op8_substring_dedup, op9_chat_formatting, op10_katz_scoring)}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
