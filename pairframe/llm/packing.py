@@ -15,7 +15,7 @@ less than one quantum's credit and one packet, as long as all queues last.
 
 from __future__ import annotations
 
-import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,93 +26,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pairframe.llm.bpe import encode
 from pairframe.llm.common import stored
 
 LENGTH, SEGMENT, QUANTUM = 2048, 1024, 8 * 2048
 BLOCK = 1024
-#: Entries kept by a worker's cache of encoded words.
-CACHE = 300_000
-_EXOTIC = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def encoder(tokenizer_file: str, pattern: str):
+    """The byte-level BPE of a tokenizer file as a tiktoken encoding: the same ids, several times faster.
+
+    In such a file ids rise with the rank of their merges, so they are the ranks.
+    Strings of special tokens in a text get those tokens, as the file's own
+    library has it.
+    """
+    import tiktoken
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    size = made.get_vocab_size()
-    opens = np.zeros(size, bool)
-    for token, i in made.get_vocab().items():
-        opens[i] = token.startswith("Ġ")
-    special = [t.content for t in made.get_added_tokens_decoder().values()]
-    return made, opens, special
+    made = Tokenizer.from_file(tokenizer_file)
+    special = {t.content: i for i, t in made.get_added_tokens_decoder().items()}
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    shown = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+    ranks = {bytes(shown[c] for c in token): i for token, i in made.get_vocab(with_added_tokens=False).items() if token not in special}
+    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
-class WordEncoder:
-    """Encodes texts with a byte-level tokenizer, each space-led word once.
+def encoded(enc, text: str) -> list[int]:
+    if any(s in text for s in enc.special_tokens_set):
+        return enc.encode(text, allowed_special="all")
+    return encode(enc, text)
 
-    A match of the splitting pattern never runs from a non-space into a space,
-    so a text's ids are those of its first word and of every later word with its
-    leading space. Texts in which white space meets a space, or which hold the
-    string of a special token, are encoded whole instead.
-    """
 
-    def __init__(self, path: str):
-        self.tokenizer, self.opens, self.special = _tokenizer(path)
-        self.words: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.words) + len(new) > CACHE:
-            self.words.clear()
-        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = self._ids(" " + " ".join(part))
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) == len(part):
-                ends = [*(cuts[1:] * 4).tolist(), len(ids) * 4]
-                data = ids.tobytes()
-                self.words.update(zip(part, (data[a:b] for a, b in zip((cuts * 4).tolist(), ends, strict=True)), strict=True))
-        for w in new:
-            if w not in self.words:
-                self.words[w] = self._ids(" " + w).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split, new = [], set()
-        for t in texts:
-            odd = "  " in t or "\n " in t or "\t " in t or "\r " in t or _EXOTIC.search(t) or any(s in t for s in self.special)
-            words = None if odd else t.split(" ")
-            split.append(words)
-            if words:
-                new.update(words[1:])
-        new.difference_update(self.words)
-        if new:
-            self._learn(list(new))
-            if len(self.words) <= len(new):  # the cache was emptied: earlier words of these texts are gone too
-                again = {w for words in split if words for w in words[1:]} - self.words.keys()
-                for w in again:
-                    self.words[w] = self._ids(" " + w).tobytes()
-        get = self.words.__getitem__
-        return [self._ids(t).tobytes() if words is None else self._ids(words[0]).tobytes() + b"".join(map(get, words[1:])) for t, words in zip(texts, split, strict=True)]
-
-
-def tokenized(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer_file: str, pattern: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """doc_id, source, part, row, n, queued (tokens of its source before it in its part), ids (u2 or u4 binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_file)
-        kind = "<u2" if max(len(encoder.opens), end_id + 1) <= 1 << 16 else "<u4"
+        enc = encoder(tokenizer_file, pattern)
+        kind = "H" if max(enc.n_vocab, end_id + 1) <= 1 << 16 else "I"
         part, row, sent = TaskContext.get().partitionId(), 0, {}
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 ids, n, queued = [], [], []
-                for data, source in zip(encoder.encode(batch.column(2).to_pylist()), batch.column(1).to_pylist(), strict=True):
-                    one = np.append(np.frombuffer(data, "<u4"), end_id).astype(kind)
+                for text, source in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    one = array(kind, encoded(enc, text))
+                    one.append(end_id)
                     ids.append(one.tobytes())
                     n.append(len(one))
                     queued.append(sent.get(source, 0))
@@ -133,6 +92,7 @@ def tokenized(docs: DataFrame, tokenizer_file: str, end_id: int, id_col: str, te
 def pack(
     docs: DataFrame,
     tokenizer_file: str,
+    pattern: str,
     end_id: int,
     weights: DataFrame | None = None,
     length: int = LENGTH,
@@ -152,7 +112,7 @@ def pack(
     repeated rows are packed as often as they occur; an empty table gives no
     rows; other columns are ignored.
     """
-    tokens = stored(tokenized(docs, tokenizer_file, end_id, id_col, text_col, source_col), "tokens")
+    tokens = stored(tokenized(docs, tokenizer_file, pattern, end_id, id_col, text_col, source_col), "tokens")
     meta = tokens.select("part", "row", "source", "n", "queued")
     parts = meta.groupBy("source", "part").agg(F.sum("n").alias("tokens"))
     sources = parts.groupBy("source").agg(F.sum("tokens").cast("double").alias("weight"))

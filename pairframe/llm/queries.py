@@ -12,7 +12,7 @@ from pairframe.llm.common import table
 def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1)
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 1)
     crc = F.crc32("ids").alias("ids_crc32")
     return pieces.select("doc_id", "source", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
 
