@@ -41,7 +41,7 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 2048 tokens whose sources keep their shares."""
-    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 1)
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 1)
     return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
