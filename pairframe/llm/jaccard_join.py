@@ -179,18 +179,21 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     one = made.filter("tokens is not null").select("digest", "n", "lone", "prefix")
     # a group: equal size and prefix. A prefix with a token of its own is like no other
     group = F.when(F.col("lone") > 0, F.col("digest")).otherwise(F.unhex(F.md5(F.concat_ws(",", F.col("n").cast("string"), F.array_join("prefix", ",")).cast("binary"))))
-    one = stored(one.dropDuplicates(["digest"]).select("digest", "n", group.alias("group"), "prefix"), "prefixes")
+    one = stored(one.dropDuplicates(["digest"]).select("digest", "n", "lone", group.alias("group"), "prefix"), "prefixes")
     sets = made.filter("tokens is not null").select("digest", "n", "tokens").dropDuplicates(["digest"])
     member = one.select("digest", "group")
     heads = one.groupBy("group").agg(F.min("digest").alias("head"))
-    post = one.dropDuplicates(["group"]).select("group", "n", F.explode("prefix").alias("token"))
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-    # every group against the leader it shares most prefix tokens with, every class against its group's head
-    lead = post.groupBy("token").agg(F.min(F.struct("group", "n")).alias("lead"), F.count("*").alias("holders")).filter("holders > 1")
+    # room: tokens that any other set can share
+    post = one.dropDuplicates(["group"]).select("group", "n", (F.col("n") - F.col("lone")).alias("room"), F.explode("prefix").alias("token"))
+    need = lambda n, m: F.floor((percent * (F.col(n) + F.col(m)) + 99 + percent) / F.lit(100 + percent))  # noqa: E731  # tokens two sets of n and m must share
+    fits = lambda n, m, x, y: (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(x, y) >= need(n, m))
+
+    # every group against the leader it shares most prefix tokens with, every class against its group's head.
+    # A token's leader is the set with the least of its own: of a family of copies, the one nearest to all others
+    lead = post.groupBy("token").agg(F.min(F.struct(F.col("n") - F.col("room"), F.col("group"), F.col("n"), F.col("room"))).alias("lead"), F.count("*").alias("holders")).filter("holders > 1")
     star = (
-        post.join(lead.select("token", F.col("lead.group").alias("leader"), F.col("lead.n").alias("m")), "token")
-        .filter((F.col("group") != F.col("leader")) & fits(F.col("n"), F.col("m")))
+        post.join(lead.select("token", F.col("lead.group").alias("leader"), F.col("lead.n").alias("m"), F.col("lead.room").alias("room_m")), "token")
+        .filter((F.col("group") != F.col("leader")) & fits("n", "m", "room", "room_m"))
         .groupBy("group", "leader").count()
         .groupBy("group").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
     )
@@ -206,16 +209,15 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     rest = post.join(span, "group")
     mixed = rest.groupBy("token").agg(F.min("low").alias("x"), F.max("high").alias("y")).filter("x <> y").select("token")
     rest = rest.join(mixed, "token")
-    other = rest.select("token", F.col("group").alias("group2"), F.col("n").alias("n2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    other = rest.select("token", F.col("group").alias("group2"), F.col("n").alias("n2"), F.col("room").alias("room2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     apart = (F.col("low") != F.col("low2")) | (F.col("high") != F.col("high2")) | (F.col("low") != F.col("high"))
-    need = F.floor((percent * (F.col("n") + F.col("n2")) + 99 + percent) / F.lit(100 + percent))
     behind = lambda n: least(n) - 1  # noqa: E731  # tokens after the prefix
     pairs = (
         rest.join(other, "token")
-        .filter((F.col("group") < F.col("group2")) & fits(F.col("n"), F.col("n2")) & apart)
+        .filter((F.col("group") < F.col("group2")) & fits("n", "n2", "room", "room2") & apart)
         .groupBy("group", "group2", "n", "n2").count()
         # a token common to both lies in both prefixes, or behind the prefix that ends first
-        .filter(F.col("count") >= need - F.greatest(behind("n"), behind("n2")))
+        .filter(F.col("count") >= need("n", "n2") - F.greatest(behind("n"), behind("n2")))
         .select("group", "group2")
     )
     inner = span.filter("low <> high").select("group", F.col("group").alias("group2"))
