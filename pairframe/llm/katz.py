@@ -157,8 +157,9 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     each; an empty table gives no rows; other columns are ignored. Words are
     known by 64-bit hashes.
     """
-    buckets = bucket_count(docs)
-    groups = dealt(docs, id_col, text_col, group_count(docs))
+    # larger groups repeat fewer words and bigrams, and smaller buckets hold their sums
+    buckets = bucket_count(docs) * 6 // 5 + 1
+    groups = dealt(docs, id_col, text_col, group_count(docs) * 2 // 3)
 
     def ask_words(group: pa.Table) -> pa.Table:
         tokens = _Tokens(group)
