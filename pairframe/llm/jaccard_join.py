@@ -28,6 +28,8 @@ from pairframe.llm.components import components
 from pairframe.llm.wordhash import MESSAGE, Texts, U, bucket_count, group_count, messages, planes, received, runs, send, unplanes, windows
 
 SHINGLE, PERCENT = 5, 75
+#: Holders of a token that meet a group at a time.
+CHUNK = 1000
 #: Bytes kept of a token for verification: two shingles of a pair agree by chance once in 2**48.
 TOKEN = 6
 
@@ -165,6 +167,51 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(left.groupBy("to").cogroup(right.groupBy("deal")).applyInArrow(compare, "a binary, b binary"), "links")
 
 
+def _across(post: DataFrame, span: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups (group, group2) that lie in different components and may hold linked sets.
+
+    The side in the smaller component looks for the other one, so a large family
+    of copies is looked at by strangers only. A group meets its tokens' holders
+    in chunks of about ``CHUNK``, and its common tokens with each are counted
+    where its chunks come together.
+    """
+    code = F.when(F.col("low") == F.col("high"), F.xxhash64("low")).otherwise(F.xxhash64("group", F.lit(1)))
+    known = span.select("group", code.alias("comp"))
+    known = known.join(known.groupBy("comp").agg(F.count("*").alias("size")), "comp")
+    rest = post.join(known, "group").select("token", F.xxhash64("group").alias("g"), "n", "room", "size", "comp")
+    tops = rest.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("top"), F.min(F.struct("size", "comp")).alias("low"), F.count("*").alias("holders"))
+    rest = rest.join(tops.filter("top <> low").select("token", F.col("top.comp").alias("top"), "holders"), "token")
+    cell = F.struct(F.col("g").alias("y"), F.col("n").alias("m"), F.col("room").alias("room_y"), F.col("size").alias("size_y"), F.col("comp").alias("comp_y"))
+    chunk = F.pmod(F.xxhash64("g", F.lit(9)), F.ceil(F.col("holders") / CHUNK))
+    lists = rest.groupBy("token", chunk.alias("chunk")).agg(F.collect_list(cell).alias("cells"))
+    seekers = rest.filter("comp <> top").select("token", "g", "n", "room", "size", "comp")
+    spread = 4 * shuffle_partitions(post.sparkSession)
+    met = seekers.join(lists, "token").select(F.pmod(F.xxhash64("g"), F.lit(spread)).cast("int").alias("deal"), "g", "n", "room", "size", "comp", "cells")
+
+    def count(rows: pa.Table) -> pa.Table:
+        cells = rows.column("cells").combine_chunks()
+        many = np.asarray(cells.value_lengths())
+        flat = cells.flatten()
+        y, m, room_y, size_y, comp_y = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+        x, n, room, size, comp = (np.repeat(rows.column(c).to_numpy(), many) for c in ("g", "n", "room", "size", "comp"))
+        need = (percent * (n + m) + 99 + percent) // (100 + percent)
+        fit = ((size < size_y) | ((size == size_y) & (comp < comp_y))) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(room, room_y) >= need)
+        x, y, n, m, need = (v[fit] for v in (x, y, n, m, need))
+        order = np.lexsort((y, x))
+        at = runs(x[order], y[order])
+        common = np.diff(np.append(at, len(order)))
+        x, y, n, m, need = (v[order][at] for v in (x, y, n, m, need))
+        # a token common to both lies in both prefixes, or behind the prefix that ends first
+        behind = (percent * np.maximum(n, m) + 99) // 100 - 1
+        keep = common >= need - behind
+        return pa.table([pa.array(x[keep]), pa.array(y[keep])], names=["g", "g2"])
+
+    found = stored(met.groupBy("deal").applyInArrow(count, "g long, g2 long"), "group-pairs")
+    names = span.select(F.xxhash64("group").alias("g"), "group")
+    names2 = names.select(F.col("g").alias("g2"), F.col("group").alias("group2"))
+    return found.join(names, "g").join(names2, "g2").select("group", "group2")
+
+
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (least id reachable by links).
 
@@ -175,7 +222,6 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     other columns are ignored.
     """
     made = shingle_classes(docs, shingle, percent, id_col, text_col)
-    least = lambda n: F.floor((percent * F.col(n) + 99) / 100)
     one = made.filter("tokens is not null").select("digest", "n", "lone", "prefix")
     # a group: equal size and prefix. A prefix with a token of its own is like no other
     group = F.when(F.col("lone") > 0, F.col("digest")).otherwise(F.unhex(F.md5(F.concat_ws(",", F.col("n").cast("string"), F.array_join("prefix", ",")).cast("binary"))))
@@ -203,23 +249,10 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     found = verified(stored(tries, "tries"), sets, percent)
     comp = components(found)
 
-    # what is left: pairs of groups that are not wholly one component yet
+    # what is left: pairs of groups in different components, and groups that are not one component
     placed = stored(member.join(comp, member.digest == comp.node, "left").select("digest", "group", F.coalesce("comp", "digest").alias("comp")), "placed")
     span = placed.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    rest = post.join(span, "group")
-    mixed = rest.groupBy("token").agg(F.min("low").alias("x"), F.max("high").alias("y")).filter("x <> y").select("token")
-    rest = rest.join(mixed, "token")
-    other = rest.select("token", F.col("group").alias("group2"), F.col("n").alias("n2"), F.col("room").alias("room2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    apart = (F.col("low") != F.col("low2")) | (F.col("high") != F.col("high2")) | (F.col("low") != F.col("high"))
-    behind = lambda n: least(n) - 1  # noqa: E731  # tokens after the prefix
-    pairs = (
-        rest.join(other, "token")
-        .filter((F.col("group") < F.col("group2")) & fits("n", "n2", "room", "room2") & apart)
-        .groupBy("group", "group2", "n", "n2").count()
-        # a token common to both lies in both prefixes, or behind the prefix that ends first
-        .filter(F.col("count") >= need("n", "n2") - F.greatest(behind("n"), behind("n2")))
-        .select("group", "group2")
-    )
+    pairs = _across(post, span, percent)
     inner = span.filter("low <> high").select("group", F.col("group").alias("group2"))
     a = placed.select("group", F.col("digest").alias("a"), F.col("comp").alias("comp_a"))
     b = placed.select(F.col("group").alias("group2"), F.col("digest").alias("b"), F.col("comp").alias("comp_b"))
