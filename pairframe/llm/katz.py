@@ -159,11 +159,12 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     # larger groups repeat fewer words and bigrams, and smaller buckets hold their sums
     buckets = bucket_count(docs) * 6 // 5 + 1
+    word_buckets = bucket_count(docs) * 3 // 5 + 1
     groups = dealt(docs, id_col, text_col, group_count(docs) * 2 // 3)
 
     def ask_words(group: pa.Table) -> pa.Table:
         tokens = _Tokens(group)
-        return send(tokens.src, tokens.keys, [(tokens.counts(), WIDE)], buckets)
+        return send(tokens.src, tokens.keys, [(tokens.counts(), WIDE)], word_buckets)
 
     def count_words(group: pa.Table) -> pa.Table:
         bucket = group.column("to")[0].as_py()
@@ -175,7 +176,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         rank[np.argsort(-total.astype(np.int64), kind="stable")] = np.arange(len(at), dtype=U)
         size = np.diff(np.append(at, len(keys)))
         count, ids = np.empty(len(keys), U), np.empty(len(keys), U)
-        count[order], ids[order] = np.repeat(total, size), np.repeat(rank * U(buckets) + U(bucket), size)
+        count[order], ids[order] = np.repeat(total, size), np.repeat(rank * U(word_buckets) + U(bucket), size)
         ends = np.cumsum(n).tolist()
         out = messages(src, [bucket] * len(src), n, [planes(count[e - k : e], WIDE) + planes(ids[e - k : e], WIDE) for e, k in zip(ends, n, strict=True)])
         stats = [int(total.sum()), int((total > 0).sum()), *[int((total == r).sum()) for r in range(1, K + 2)]]
