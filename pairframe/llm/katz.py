@@ -36,17 +36,26 @@ REPLY = MESSAGE + ", stats array<bigint>"
 
 
 def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
-    """Good-Turing factors d[1..K] (d[0] unused) from n[1..K+1]; absolute ones where the counts can't carry Good-Turing."""
-    n = np.asarray(counts_of_counts, float)
+    """Good-Turing factors d[1..K] (d[0] unused) from n[1..K+1], smoothed by a log-linear fit of n[r] over r.
+
+    Copies raise some n[r], so raw factors can leave (0, 1). Along the fit A r^b
+    the Turing ratio (r + 1) n[r+1] / (r n[r]) is ((r + 1) / r)^(b + 1), and all
+    factors lie in (0, 1) whatever b is. Each n[r] weighs as much as it counts,
+    the inverse of the variance of its logarithm. With fewer than two n[r] above
+    0 there is no slope to fit, and b is -2, as under Zipf's law.
+    """
+    n = np.asarray(counts_of_counts, float)[1 : K + 2]
     out = np.ones(K + 1)
-    r = np.arange(1, K + 1)
-    if (n[1 : K + 2] > 0).all():
-        tail = (K + 1) * n[K + 1] / n[1]
-        if tail < 1:
-            out[1:] = ((r + 1) * n[2 : K + 2] / n[1 : K + 1] / r - tail) / (1 - tail)
-    if not ((out[1:] > 0) & (out[1:] < 1)).all():
-        cut = n[1] / (n[1] + 2 * n[2]) if n[1] > 0 else 0.5
-        out[1:] = (r - min(max(cut, 0.1), 0.9)) / r
+    r = np.arange(1, K + 2)
+    some = n > 0
+    b = -2.0
+    if some.sum() > 1:
+        x, y, weight = np.log(r[some]), np.log(n[some]), n[some] / n[some].sum()
+        x = x - (weight * x).sum()
+        b = (weight * x * y).sum() / (weight * x * x).sum()
+    # as b goes to -1, powers less 1 over b + 1 go to logarithms
+    less = np.expm1((b + 1) * np.log(np.append((r[:-1] + 1) / r[:-1], K + 1))) if abs(b + 1) > 1e-9 else np.log(np.append((r[:-1] + 1) / r[:-1], K + 1))
+    out[1:] = 1 - less[:-1] / less[-1]
     return out
 
 

@@ -140,6 +140,26 @@ def test_katz(docs):
     assert score_sum > base_sum
 
 
+def test_katz_discounts_stay_good_turing():
+    # n[r] = 3600 / r^2: r* / r = r / (r + 1), so d[r] = (r / (r + 1) - 1 / 6) / (5 / 6)
+    exact = [0, 3600, 900, 400, 225, 144, 100]
+    assert np.allclose(katz.discounts(exact)[1:], [2 / 5, 3 / 5, 7 / 10, 19 / 25, 4 / 5], atol=1e-12)
+    # counts of counts of words and bigrams in the given tables, whose raw factors d[4] lie above 1
+    for n, slope in (
+        ([0, 49663, 12919, 5197, 2729, 2383, 1067], -2.014), ([0, 193655, 25105, 6496, 2179, 2497, 618], -2.987),
+        ([0, 207344, 59772, 25017, 14274, 13493, 7080], -1.839), ([0, 1579638, 246704, 51653, 21705, 18939, 7580], -2.873),
+    ):
+        # slopes are those of numpy.polyfit with weights sqrt(n); smoothed counts then go into the textbook formula
+        smooth = [1e9 * r**slope for r in range(1, 7)]
+        tail = 6 * smooth[5] / smooth[0]
+        want = [((r + 1) * smooth[r] / (r * smooth[r - 1]) - tail) / (1 - tail) for r in range(1, 6)]
+        got = katz.discounts(n)[1:]
+        assert np.allclose(got, want, atol=5e-4) and (np.diff(got) > 0).all()
+    for n in ([0] * 7, [0, 0, 0, 7, 0, 0, 0], [0, 1, 1, 1, 1, 1, 1], [0, 60, 30, 20, 15, 12, 10], [0, 1, 2, 4, 8, 16, 32], [0, 9, 0, 0, 0, 0, 1]):
+        d = katz.discounts(n)[1:]
+        assert ((d > 0) & (d < 1)).all() and (np.diff(d) > 0).all(), n
+
+
 def test_katz_edges(spark, docs):
     assert katz.katz_scores(docs.limit(0)).count() == 0
     # nothing to learn from: crc32("2") % 7 is looked up rather than assumed
