@@ -10,7 +10,9 @@ sums over small tables, one per source and one over rounds, give every packet
 its place in the packed stream, which is then cut into windows of ``length``.
 
 Between any two points of the stream a source's tokens differ from its share by
-less than one quantum's credit and one packet, as long as all queues last.
+less than one quantum's credit and one packet, as long as all queues last. With
+the quantum of one window that holds for every window's mix. Neighbouring
+packets of a document that go in one round stay one piece.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from pyspark.sql.window import Window
 from pairframe.llm.bpe import encode
 from pairframe.llm.common import stored
 
-LENGTH, SEGMENT, QUANTUM = 2048, 1024, 8 * 2048
+#: A round fills one window, so the quantum is the length; packets are small against a usual source's share of it.
+LENGTH, SEGMENT, QUANTUM = 2048, 64, 2048
 BLOCK = 1024
 
 
@@ -127,13 +130,14 @@ def pack(
     starts = parts.select("source", "part", F.coalesce(before, F.lit(0)).alias("begin")).join(sources, "source")
     credit = F.greatest(F.col("weight") / F.lit(float(mass)) * F.lit(float(quantum)), F.lit(1e-6))
     cut = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / segment)), lambda k: k * segment)
-    packets = (
-        meta.join(starts, ["source", "part"])
-        .select("part", "row", "source", credit.alias("credit"), "n", (F.col("begin") + F.col("queued")).alias("at"), F.explode(cut).alias("start"))
-        .withColumn("n", F.least(F.col("n") - F.col("start"), F.lit(segment)))
-        .withColumn("at", F.col("at") + F.col("start"))
-        .select("part", "row", "source", "start", "n", "at", F.floor((F.col("at") + F.col("n") - 1) / F.col("credit")).alias("round"))
-    )
+    marked = meta.join(starts, ["source", "part"]).select("part", "row", "source", credit.alias("credit"), "n", (F.col("begin") + F.col("queued")).alias("at"), cut.alias("cuts"))
+    # the round of the packet that begins at each cut; runs of one round are sent as one
+    sent_in = F.transform("cuts", lambda k: F.floor((F.col("at") + F.least(F.col("n"), k + segment) - 1) / F.col("credit")))
+    rounds = marked.select("*", sent_in.alias("rounds"))
+    heads = F.filter(F.arrays_zip("cuts", "rounds"), lambda x, i: (i == 0) | (x["rounds"] != F.get("rounds", i - 1)))
+    runs = rounds.select("part", "row", "source", "n", "at", heads.alias("heads"))
+    ends = F.transform("heads", lambda x, i: F.struct(x["cuts"].alias("start"), (F.coalesce(F.get("heads", i + 1)["cuts"], F.col("n")) - x["cuts"]).alias("n"), x["rounds"].alias("round")))
+    packets = runs.select("part", "row", "source", "at", F.explode(ends).alias("run")).select("part", "row", "source", F.col("run.start").alias("start"), F.col("run.n").alias("n"), (F.col("at") + F.col("run.start")).alias("at"), F.col("run.round").alias("round"))
     # the stream's order is (round, source, queue place); both prefix sums run over sums, block by block
     sends = packets.groupBy("source", "round").agg(F.sum("n").alias("tokens"), F.min("at").alias("first")).withColumn("block", F.floor(F.col("round") / BLOCK))
     blocks = sends.groupBy("block").agg(F.sum("tokens").alias("block_tokens"))

@@ -215,6 +215,22 @@ def test_packing_keeps_the_mixture(docs):
     assert packing.pack(docs.limit(0), FILE, P.PATTERN, 1).count() == 0
 
 
+def test_packing_fills_each_window_to_the_mixture(spark):
+    shares = {"hot": 35, "a": 20, "b": 15, "c": 10, "d": 10, "e": 5, "f": 5}
+    rows = [(k, " ".join(f"word{(k * 7 + j) % 50}" for j in range(30 + k % 700)), s) for k, s in enumerate(s for i in range(8) for s, n in shares.items() for _ in range(n))]
+    by_seq = defaultdict(Counter)
+    for r in pieces_of(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)):
+        by_seq[r.sequence_id][r.source] += r.length
+    total = sum((c for c in by_seq.values()), Counter())
+    share = {s: n / sum(total.values()) for s, n in total.items()}
+    full = [c for c in by_seq.values() if sum(c.values()) == 2048]
+    assert len(full) > 100
+    distances = sorted(sum(abs(c[s] / 2048 - share[s]) for s in share) / 2 for c in full)
+    assert all(c["hot"] > 0 for c in full)
+    # a packet more or less of each source at the most, and half of that at the median
+    assert distances[len(full) // 2] <= 0.11 and distances[-1] <= 7 * 64 / 2048
+
+
 def test_packing_weights_lead(spark, docs):
     weights = spark.createDataFrame([("big", 1e9)], "source string, weight double")
     rows = pieces_of(docs, weights=weights)
