@@ -92,6 +92,26 @@ def test_lagged_family_shares_one_exchange(games):
     assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
+def test_elo_folds_batch_by_batch(spark):
+    sides = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("d", "b")]
+    rows = [(p, k, k // 2, *sides[(k + (p or 0)) % 5], k % 3, 1) for p in (1, 2, None) for k in range(40)]
+    events = spark.createDataFrame(rows, "pool long, game_id long, date long, home_team string, away_team string, home_score long, away_score long")
+    want, rating = {}, {}
+    for p, k, _, h, a, hs, as_ in rows:
+        rh, ra = rating.get((p, h), 1500.0), rating.get((p, a), 1500.0)
+        want[p, k] = rh, ra
+        moved = 20 * ((1.0 if hs > as_ else 0.0 if hs < as_ else 0.5) - 1 / (1 + 10 ** (-(rh - ra) / 400)))
+        rating[p, h], rating[p, a] = rh + moved, ra - moved
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = ratings.elo(events.orderBy(F.rand(1)), "pool")
+        assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+        found = {(r.pool, r.game_id): (r.home_elo, r.away_elo) for r in got.collect()}
+        assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_elo(games):
     got = {r.game_id: (r.home_elo, r.away_elo) for r in ratings.elo(games, "pool").collect()}
     assert got[1] == (1500.0, 1500.0) and got[2] == (1510.0, 1490.0)
