@@ -32,7 +32,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secret_spans")
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), out="secret_spans").select("doc_id", "secret_spans")
     base = F.filter("secret_spans", lambda s: s["kind"] < 3)
     n = lambda k: F.size(F.filter("secret_spans", lambda s: s["kind"] == k)).cast("long")
     return found.select(
