@@ -33,8 +33,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text; every document stays."""
-    found = secrets.find_secrets(docs, out="secret_spans_")
-    text = secrets.redacted(F.col("text"), F.col("secret_spans_"))
+    found = secrets.find_secrets(docs)
+    text = secrets.redacted(F.col("text"), F.col(found.columns[-1]))
     masked = found.withColumn("text", text)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
