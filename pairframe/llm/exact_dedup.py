@@ -1,10 +1,10 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash.
 
-Only lengths that occur twice get their prefixes compared, and only (length,
-prefix) groups that occur twice have their full content hashed. The surviving
-groups reach the second scan as a bitmap of fixed size (``BITS``), so no text
-is shuffled and nothing that grows with the corpus is broadcast; a false
-positive of the bitmap only costs one more hash.
+Lengths are counted first. Prefixes are hashed only in rows whose length
+repeats, and whole texts only in rows whose (length, prefix) repeats. What
+survives a level reaches the next scan as a bitmap of fixed size (``BITS``), so
+no text is shuffled and nothing that grows with the corpus is broadcast; a false
+positive of a bitmap only costs one more hash.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairframe.llm.common import ascii_lower, fresh
+from pairframe.llm.common import ascii_lower, fresh, stored
 
-#: Bits of the filter between the scans: 4 MB at most, whatever the corpus.
+#: Bits of a filter between two scans: 4 MB at most, whatever the corpus.
 BITS = 1 << 25
 PREFIX_CHARS = 64
+#: A text with more than a share of 1/HOT of all rows is hot; there are fewer than HOT of them.
+HOT = 1000
 
 
 def normalised(text: Column) -> Column:
@@ -28,6 +30,43 @@ def full_hash(text: Column) -> Column:
     return F.sha2(normalised(text).cast("binary"), 256)
 
 
+def _slot(*key: str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(BITS))
+
+
+def _bitmap(survivors: DataFrame, *key: str) -> DataFrame:
+    """(bucket, bitmap): the slots of the keys, at most 1024 rows of 4 KB."""
+    slots = survivors.select(F.bitmap_bucket_number(_slot(*key)).alias("bucket"), F.bitmap_bit_position(_slot(*key)).alias("bit"))
+    return slots.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def _among(rows: DataFrame, bits: DataFrame, flag: str, *key: str) -> DataFrame:
+    """rows with a flag: whether the bitmap has the slot of their key."""
+    place = rows.withColumn("bucket", F.bitmap_bucket_number(_slot(*key))).withColumn("bit", F.bitmap_bit_position(_slot(*key)))
+    byte = F.conv(F.hex(F.substring("bitmap", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.col("bitmap").isNotNull() & (byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0)
+    return place.join(F.broadcast(bits), "bucket", "left").withColumn(flag, F.coalesce(hit, F.lit(False))).drop("bucket", "bit", "bitmap")
+
+
+def refined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
+    """doc_id, row, n_bytes, prefix (null where the length is unique), again (length and prefix repeat), digest (null unless again or digest_all).
+
+    Rows are small and are stored once, so that every later step sees the same
+    row numbers.
+    """
+    norm = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    scan = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.octet_length(norm).alias("n_bytes"), norm.alias("content"))
+    start = F.xxhash64(normalised(F.substring("content", 1, PREFIX_CHARS)))
+
+    lengths = scan.groupBy("n_bytes").agg(F.count("*").alias("n")).filter("n > 1")
+    with_length = lambda rows: _among(rows, _bitmap(lengths, "n_bytes"), "same_length", "n_bytes").withColumn("prefix", F.when(F.col("same_length"), start))
+    pairs = with_length(scan).filter("same_length").groupBy("n_bytes", "prefix").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = with_length(scan.withColumn("row", F.monotonically_increasing_id()))
+    rows = _among(rows, _bitmap(pairs, "n_bytes", "prefix"), "in_pair", "n_bytes", "prefix").withColumn("again", F.col("same_length") & F.col("in_pair"))
+    digest = F.sha2(ascii_lower(F.col("content")).cast("binary"), 256)
+    return stored(rows.select("doc_id", "row", "n_bytes", "prefix", "again", (digest if digest_all else F.when(F.col("again"), digest)).alias("digest")), "digests")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -37,51 +76,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays. text_sha256 is null for texts never hashed in full, unless digest_all.
     An empty table gives no rows; other columns of docs are ignored.
     """
-    text, doc_id = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
-    norm = F.coalesce(text.cast("string"), F.lit(""))
-    start = normalised(F.substring(norm, 1, PREFIX_CHARS))
-    sizes = docs.select(F.octet_length(norm).alias("n_bytes"), F.xxhash64(start).alias("prefix"))
-
-    pairs = sizes.groupBy("n_bytes", "prefix").agg(F.count("*").alias("n"))
-    lengths = pairs.groupBy("n_bytes").agg(F.sum("n").alias("rows")).filter("rows > 1")
-    survivors = pairs.join(lengths, "n_bytes", "left_semi").filter("n > 1")
-    slot = F.pmod(F.xxhash64("n_bytes", "prefix"), F.lit(BITS))
-    bits = (
-        survivors.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
-        .groupBy("bucket")
-        .agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-    )
-
-    rows = docs.select(
-        doc_id.alias("doc_id"),
-        F.monotonically_increasing_id().alias("row"),
-        F.octet_length(norm).alias("n_bytes"),
-        F.xxhash64(start).alias("prefix"),
-        norm.alias("content"),
-    ).withColumn("bucket", F.bitmap_bucket_number(slot)).withColumn("bit", F.bitmap_bit_position(slot))
-    byte = F.conv(F.hex(F.substring("bitmap", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.col("bitmap").isNotNull() & (F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0)
-    digest = F.sha2(ascii_lower(F.col("content")).cast("binary"), 256)
-    hashed = rows.join(F.broadcast(bits), "bucket", "left").select(
-        "doc_id", "row", "n_bytes", "prefix",
-        hit.alias("again"),
-        (digest if digest_all else F.when(hit, digest)).alias("text_sha256"),
-    )
-
+    rows = refined(docs, id_col, text_col, digest_all)
     # one shuffle of small rows by the full key; hot groups are combined before it
     groups = (
-        hashed.filter("again")
-        .groupBy("n_bytes", "prefix", "text_sha256")
-        .agg(F.count("*").alias("n"), F.max(F.struct(F.col("doc_id"), F.col("row"))).alias("top"))
+        rows.filter("again")
+        .groupBy("digest")
+        .agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "row")).alias("top"))
         .filter("n > 1")
     )
-    out = hashed.join(groups, ["n_bytes", "prefix", "text_sha256"], "left")
+    groups = stored(groups, "groups")
+    # rows of a hot text get their group by broadcast and are dealt out by their own number after that
+    most = F.lit(max(1, rows.count() // HOT))
+    hot = groups.filter(F.col("n") > most).select("digest", F.col("n").alias("hot_n"), F.col("top").alias("hot_top"))
+    rows = rows.withColumn("digest_", F.when(F.col("again"), F.col("digest"))).join(F.broadcast(hot.withColumnRenamed("digest", "digest_")), "digest_", "left")
+    key = F.when(F.col("again") & F.col("hot_n").isNull(), F.col("digest")).otherwise(F.col("row").cast("string"))
+    cold = groups.filter(F.col("n") <= most).select(F.col("digest").alias("key"), "n", "top")
+    out = rows.withColumn("key", key).join(cold, "key", "left").withColumns({"n": F.coalesce("hot_n", "n"), "top": F.coalesce("hot_top", "top")})
     return out.select(
         "doc_id",
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (F.col("n").isNull() | (F.col("top.row") == F.col("row"))).alias("kept"),
-        "text_sha256",
+        F.col("digest").alias("text_sha256"),
     )
 
 
