@@ -90,11 +90,16 @@ def id_crc(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
 
-def labelled_sample(stats: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """At most about ``most`` labelled rows, taken by a hash of their ids; labels that are null or in conflict are left out."""
-    clean = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("__high"))
-    clean = clean.filter("label = __high").select("doc_id", F.col("label").cast("int").alias("label"))
+def sampled_labels(labels: DataFrame, most: int) -> DataFrame:
+    """(doc_id, label), about ``most`` rows at most, taken by a hash of their ids; labels that are null or in conflict are left out."""
+    clean = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("high"))
+    clean = clean.filter("label = high").select("doc_id", F.col("label").cast("int").alias("label"))
     rows = clean.count()
     if rows > most:
         clean = clean.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(1e6 * most / rows))
-    return stats.join(clean, "doc_id")
+    return clean
+
+
+def labelled_sample(stats: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """Rows of stats with a label, about ``most`` at most if ids are unique."""
+    return stats.join(sampled_labels(labels, most), "doc_id")

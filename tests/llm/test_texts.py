@@ -59,7 +59,12 @@ def test_exact_dedup(request, name):
     assert left.columns == df.columns and left.count() == len(groups)
 
 
-def test_exact_dedup_hashes_only_what_repeats(docs):
+def test_exact_dedup_refines_level_by_level(spark, docs):
+    # lengths 10 (once), 100 (three prefixes, one twice) and 200 (twice, other prefixes)
+    rows = [(1, "a" * 10), (2, "b" * 100), (3, "c" * 100), (4, "c" * 64 + "d" * 36), (5, "e" * 200), (6, "f" * 200)]
+    got = {r.doc_id: r for r in exact_dedup.refined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in got if got[i].prefix is not None] == [2, 3, 4, 5, 6]
+    assert sorted(i for i in got if got[i].digest is not None) == [3, 4] == sorted(i for i in got if got[i].again)
     lazy = exact_dedup.exact_dedup(docs)
     assert 0 < lazy.filter("text_sha256 is null").count() < lazy.count()
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
@@ -67,6 +72,16 @@ def test_exact_dedup_hashes_only_what_repeats(docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_exact_dedup_of_hot_texts(spark):
+    hot = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, "Hot").when(F.col("id") % 3 == 1, F.concat(F.lit("n"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("p"), (F.col("id") % 500).cast("string"))).alias("text"))
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(hot.withColumnRenamed("id", "doc_id")).collect()}
+    groups = {}
+    for r in hot.collect():
+        groups.setdefault(r.text.lower(), []).append(r.id)
+    for ids in groups.values():
+        assert all((got[i].keep_id, got[i].group_size, got[i].kept) == (max(ids), len(ids), i == max(ids)) for i in ids)
+
+
 def spans(t):
     assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
     out = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[1]) >= 6]
@@ -143,6 +158,37 @@ def test_quality_rules_learn_and_stay_native(spark, docs):
     assert quality_rules.quality_verdicts(df.limit(0), labels).count() == 0
 
 
+def test_decision_list_order_decides(spark):
+    # noisy rows are bad but for short-worded ones, so a rule for the exception has to go before the rule, or the rule be narrowed
+    def row(i):
+        noisy, short = i % 2 == 0, i % 3 == 0
+        return (i, int(not noisy or short), *(float(x) for x in (3.0 + i % 7 / 10 if short else 6.0 + i % 7 / 10, 0.2 + i % 5 / 100 if noisy else 0.0, 0, 0, 0, 0, 0, 0, 0.5, 9, 5)), 100, 0)
+
+    names = ", ".join(f"{f} double" for f in quality_rules.FEATURES)
+    labelled = spark.createDataFrame([row(i) for i in range(1200)], f"doc_id long, label int, {names}, n_words long, n_repeat_words long")
+    found = quality_rules.learn(labelled)
+    assert labelled.filter(found.column() != (F.col("label") == 1)).count() == 0
+    Term, both = quality_rules.Term, (((quality_rules.Term("symbol_share", True, 0.1),), False), ((quality_rules.Term("word_len", False, 5.0),), True))
+    first = labelled.filter(quality_rules.DecisionList(both).column()).count()
+    second = labelled.filter(quality_rules.DecisionList(both[::-1]).column()).count()
+    assert (first, second) == (600, 800) and Term("word_len", True, 5.0) != both[1][0][0]
+    # labels that no threshold explains leave no rule, and the majority decides
+    blind = labelled.withColumn("label", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0).cast("int"))
+    assert quality_rules.learn(blind) == quality_rules.DecisionList((), True)
+
+
+def test_keep_good_reads_statistics_once_and_keeps_names(spark):
+    df, labels = labels_for(spark)
+    clash = ["n_words", "__text", "__w", "__l", "row", "label", "kept", "word_len"]
+    odd = df.withColumns({c: F.lit("mine") for c in clash}).unionByName(spark.createDataFrame([(None, None), (5000, ""), (5001, "x " * 20000)], "doc_id long, text string").withColumns({c: F.lit("mine") for c in clash}))
+    kept = quality_rules.keep_good(odd, labels)
+    assert kept.columns == odd.columns and kept.count() == 120 and kept.filter("n_words <> 'mine' or row <> 'mine'").count() == 0
+    twice = quality_rules.keep_good(odd.union(odd), labels)
+    assert twice.count() == 240
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 2 or "Exchange" not in plan
+
+
 def test_quality_classifier(spark, docs):
     df, labels = labels_for(spark)
     got = quality_model.quality_scores(df, labels).collect()
