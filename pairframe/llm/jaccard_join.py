@@ -4,9 +4,15 @@ A document is the set of its distinct word shingles; equal sets form a class.
 Shingles are ordered by how many classes hold them, so a set's prefix starts
 with its rarest ones, and two sets that reach the threshold share a token of
 their prefixes. Classes of equal size and prefix are one group; groups are
-paired over shared prefix tokens, filtered by size and by the number of tokens
-the prefixes share, expanded to their classes, and verified on all tokens that
-more than one set has.
+paired over shared prefix tokens, filtered by size, by the places of the token
+in both and by the number of tokens the prefixes share, expanded to their
+classes, and verified on all tokens that more than one set has.
+
+The first token two sets share, in that order, bounds what they can share by
+what lies behind it in each. So a posting (token, set) has a range of partner
+sizes of its own, and where no other holder of the token is in range it is
+dropped before any pair is made: pages of one template that are too different
+to link cost as many postings as they are, not their square.
 
 Large families of near copies would be all pairs. So first every group is
 verified against one leader only, the links found are contracted to components,
@@ -17,21 +23,25 @@ connected.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairframe.llm.common import shuffle_partitions, stored
+from pairframe.llm.common import fresh, shuffle_partitions, stored
 from pairframe.llm.components import components
 from pairframe.llm.wordhash import MESSAGE, Texts, U, bucket_count, group_count, messages, planes, received, runs, send, unplanes, windows
 
 SHINGLE, PERCENT = 5, 75
 #: Holders of a token that meet a group at a time.
 CHUNK = 1000
-#: Bytes kept of a token for verification: two shingles of a pair agree by chance once in 2**48.
-TOKEN = 6
+#: Bytes of a token.
+TOKEN = 8
+#: Holders of a token whose sizes differ by less than this factor stand in one list.
+STEP = 1.1
 
 
 def _dealt(docs: DataFrame, id_col: str, text_col: str, groups: int) -> DataFrame:
@@ -123,8 +133,7 @@ def shingle_classes(docs: DataFrame, shingle: int, percent: int, id_col: str, te
             if lone < prefix:
                 mine, of = tokens[shared], of[shared]
                 first = np.lexsort((mine, of))[: prefix - lone]
-                short = np.unique(mine >> U(64 - 8 * TOKEN))
-                found[digest] = (lone, mine[first].view(np.int64).tolist(), planes(short, TOKEN))
+                found[digest] = (lone, mine[first].view(np.int64).tolist(), planes(mine, TOKEN))
         seen: set = set()
         out: list[list] = [[] for _ in range(6)]
         for doc_id, size, digest in zip(sets.ids, sets.sizes, sets.digests, strict=True):
@@ -167,49 +176,80 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(left.groupBy("to").cogroup(right.groupBy("deal")).applyInArrow(compare, "a binary, b binary"), "links")
 
 
-def _across(post: DataFrame, span: DataFrame, percent: int) -> DataFrame:
+def prefixes(made: DataFrame) -> DataFrame:
+    """One row per class that can have a partner: digest, n, lone, prefix, and its group: equal size and prefix. A prefix with a token of its own is like no other."""
+    one = made.filter("tokens is not null").select("digest", "n", "lone", "prefix").dropDuplicates(["digest"])
+    group = F.when(F.col("lone") > 0, F.col("digest")).otherwise(F.unhex(F.md5(F.concat_ws(",", F.col("n").cast("string"), F.array_join("prefix", ",")).cast("binary"))))
+    return one.select("digest", "n", "lone", group.alias("group"), "prefix")
+
+
+def postings(one: DataFrame, percent: int) -> DataFrame:
+    """(token, g, n, top, lone) for the prefix tokens of every group: size n, and the largest partner size the token's place allows.
+
+    Two sets of n and m that link share percent (n + m) / (100 + percent) tokens
+    at least, all of them from their first shared one on; in a set with r tokens
+    from there on, m is at most r (100 + percent) / percent - n.
+    """
+    places = F.posexplode("prefix").alias("place", "token")
+    rows = one.dropDuplicates(["group"]).select("group", "n", "lone", places)
+    behind = F.col("n") - F.col("lone") - F.col("place")
+    top = F.least(F.floor(behind * (100 + percent) / percent) - F.col("n"), F.floor(F.col("n") * 100 / percent)).cast("long")
+    return rows.select("token", "group", F.xxhash64("group").alias("g"), "n", "lone", top.alias("top"))
+
+
+def in_range(post: DataFrame) -> DataFrame:
+    """Postings that have another size in reach and are in another one's reach, by the token's least size and farthest reach."""
+    reach = post.groupBy("token").agg(F.min("n").alias("least"), F.max("top").alias("farthest"), F.count("*").alias("holders"))
+    return post.join(reach.filter("holders > 1"), "token").filter("least <= top and n <= farthest").drop("least", "farthest", "holders")
+
+
+def _across(post: DataFrame, span: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups (group, group2) that lie in different components and may hold linked sets.
 
     The side in the smaller component looks for the other one, so a large family
-    of copies is looked at by strangers only. A group meets its tokens' holders
-    in chunks of about ``CHUNK``, and its common tokens with each are counted
-    where its chunks come together.
+    of copies is looked at by strangers only. A group meets lists of its tokens'
+    holders, which are of about one size and ``CHUNK`` at most, and only those
+    lists that its range and theirs allow.
     """
     code = F.when(F.col("low") == F.col("high"), F.xxhash64("low")).otherwise(F.xxhash64("group", F.lit(1)))
     known = span.select("group", code.alias("comp"))
     known = known.join(known.groupBy("comp").agg(F.count("*").alias("size")), "comp")
-    rest = post.join(known, "group").select("token", F.xxhash64("group").alias("g"), "n", "room", "size", "comp")
-    tops = rest.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("top"), F.min(F.struct("size", "comp")).alias("low"), F.count("*").alias("holders"))
-    rest = rest.join(tops.filter("top <> low").select("token", F.col("top.comp").alias("top"), "holders"), "token")
-    cell = F.struct(F.col("g").alias("y"), F.col("n").alias("m"), F.col("room").alias("room_y"), F.col("size").alias("size_y"), F.col("comp").alias("comp_y"))
-    chunk = F.pmod(F.xxhash64("g", F.lit(9)), F.ceil(F.col("holders") / CHUNK))
-    lists = rest.groupBy("token", chunk.alias("chunk")).agg(F.collect_list(cell).alias("cells"))
-    seekers = rest.filter("comp <> top").select("token", "g", "n", "room", "size", "comp")
+    rest = post.join(known, "group").select("token", "g", "n", "top", "size", "comp")
+    tops = rest.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("most"), F.min(F.struct("size", "comp")).alias("low"))
+    rest = rest.join(tops.filter("most <> low").select("token", F.col("most.comp").alias("most")), "token")
+    # a token's strangers to its largest component look for all others
+    scale = F.floor(F.log(F.col("n").cast("double")) / math.log(STEP)).cast("int")
+    sizes = rest.groupBy("token", scale.alias("scale")).agg(F.count("*").alias("many"))
+    cell = F.struct(F.col("g").alias("y"), F.col("n").alias("m"), F.col("top").alias("top_y"), F.col("size").alias("size_y"), F.col("comp").alias("comp_y"))
+    chunk = F.pmod(F.xxhash64("g", F.lit(9)), F.ceil(F.col("many") / CHUNK))
+    lists = rest.withColumn("scale", scale).join(sizes, ["token", "scale"]).groupBy("token", "scale", chunk.alias("chunk"))
+    lists = lists.agg(F.collect_list(cell).alias("cells"), F.min("n").alias("least"), F.max("n").alias("largest"), F.max("top").alias("farthest"))
+    seekers = rest.filter("comp <> most").select("token", "g", "n", "top", "size", "comp")
     spread = 4 * shuffle_partitions(post.sparkSession)
-    met = seekers.join(lists, "token").select(F.pmod(F.xxhash64("g"), F.lit(spread)).cast("int").alias("deal"), "g", "n", "room", "size", "comp", "cells")
+    met = seekers.join(lists, "token").filter((F.col("least") <= F.col("top")) & (F.col("n") <= F.col("farthest")) & (100 * F.col("largest") >= percent * F.col("n")))
+    met = met.select(F.pmod(F.xxhash64("g"), F.lit(spread)).cast("int").alias("deal"), "g", "n", "top", "size", "comp", "cells")
 
-    def count(rows: pa.Table) -> pa.Table:
+    def pair(rows: pa.Table) -> pa.Table:
         cells = rows.column("cells").combine_chunks()
         many = np.asarray(cells.value_lengths())
         flat = cells.flatten()
-        y, m, room_y, size_y, comp_y = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
-        x, n, room, size, comp = (np.repeat(rows.column(c).to_numpy(), many) for c in ("g", "n", "room", "size", "comp"))
-        need = (percent * (n + m) + 99 + percent) // (100 + percent)
-        fit = ((size < size_y) | ((size == size_y) & (comp < comp_y))) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(room, room_y) >= need)
-        x, y, n, m, need = (v[fit] for v in (x, y, n, m, need))
+        y, m, top_y, size_y, comp_y = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+        x, n, top, size, comp = (np.repeat(rows.column(c).to_numpy(), many) for c in ("g", "n", "top", "size", "comp"))
+        # of equal components' sizes the larger code is looked at
+        fit = ((size < size_y) | ((size == size_y) & (comp < comp_y))) & (m <= top) & (n <= top_y)
+        x, y = x[fit], y[fit]
         order = np.lexsort((y, x))
-        at = runs(x[order], y[order])
-        common = np.diff(np.append(at, len(order)))
-        x, y, n, m, need = (v[order][at] for v in (x, y, n, m, need))
-        # a token common to both lies in both prefixes, or behind the prefix that ends first
-        behind = (percent * np.maximum(n, m) + 99) // 100 - 1
-        keep = common >= need - behind
-        return pa.table([pa.array(x[keep]), pa.array(y[keep])], names=["g", "g2"])
+        at = order[runs(x[order], y[order])]
+        return pa.table([pa.array(x[at]), pa.array(y[at])], names=["g", "g2"])
 
-    found = stored(met.groupBy("deal").applyInArrow(count, "g long, g2 long"), "group-pairs")
-    names = span.select(F.xxhash64("group").alias("g"), "group")
-    names2 = names.select(F.col("g").alias("g2"), F.col("group").alias("group2"))
-    return found.join(names, "g").join(names2, "g2").select("group", "group2")
+    found = stored(met.groupBy("deal").applyInArrow(pair, "g long, g2 long"), "group-pairs")
+    # a token common to both lies in both prefixes, or behind the prefix that ends first
+    names = one.dropDuplicates(["group"]).select(F.xxhash64("group").alias("g"), "group", "n", "prefix")
+    names2 = names.select(F.col("g").alias("g2"), F.col("group").alias("group2"), F.col("n").alias("m"), F.col("prefix").alias("prefix2"))
+    need = F.floor((percent * (F.col("n") + F.col("m")) + 99 + percent) / F.lit(100 + percent))
+    behind = F.floor((percent * F.greatest("n", "m") + 99) / 100) - 1
+    common = F.size(F.array_intersect("prefix", "prefix2"))
+    return found.join(names, "g").join(names2, "g2").filter(common >= need - behind).select("group", "group2")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,25 +262,19 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     other columns are ignored.
     """
     made = shingle_classes(docs, shingle, percent, id_col, text_col)
-    one = made.filter("tokens is not null").select("digest", "n", "lone", "prefix")
-    # a group: equal size and prefix. A prefix with a token of its own is like no other
-    group = F.when(F.col("lone") > 0, F.col("digest")).otherwise(F.unhex(F.md5(F.concat_ws(",", F.col("n").cast("string"), F.array_join("prefix", ",")).cast("binary"))))
-    one = stored(one.dropDuplicates(["digest"]).select("digest", "n", "lone", group.alias("group"), "prefix"), "prefixes")
+    one = stored(prefixes(made), "prefixes")
     sets = made.filter("tokens is not null").select("digest", "n", "tokens").dropDuplicates(["digest"])
     member = one.select("digest", "group")
     heads = one.groupBy("group").agg(F.min("digest").alias("head"))
-    # room: tokens that any other set can share
-    post = one.dropDuplicates(["group"]).select("group", "n", (F.col("n") - F.col("lone")).alias("room"), F.explode("prefix").alias("token"))
-    need = lambda n, m: F.floor((percent * (F.col(n) + F.col(m)) + 99 + percent) / F.lit(100 + percent))  # noqa: E731  # tokens two sets of n and m must share
-    fits = lambda n, m, x, y: (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(x, y) >= need(n, m))
+    post = stored(in_range(postings(one, percent)), "postings")
 
     # every group against the leader it shares most prefix tokens with, every class against its group's head.
     # A token's leader is the set with the least of its own: of a family of copies, the one nearest to all others
-    lead = post.groupBy("token").agg(F.min(F.struct(F.col("n") - F.col("room"), F.col("group"), F.col("n"), F.col("room"))).alias("lead"), F.count("*").alias("holders")).filter("holders > 1")
+    lead = post.groupBy("token").agg(F.min(F.struct("lone", "group", "n", "top")).alias("lead"))
+    near = (F.col("n") <= F.col("lead.top")) & (F.col("lead.n") <= F.col("top"))
     star = (
-        post.join(lead.select("token", F.col("lead.group").alias("leader"), F.col("lead.n").alias("m"), F.col("lead.room").alias("room_m")), "token")
-        .filter((F.col("group") != F.col("leader")) & fits("n", "m", "room", "room_m"))
-        .groupBy("group", "leader").count()
+        post.join(lead, "token").filter((F.col("group") != F.col("lead.group")) & near)
+        .groupBy("group", F.col("lead.group").alias("leader")).count()
         .groupBy("group").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
     )
     by_head = heads.select(F.col("group").alias("leader"), F.col("head").alias("a"))
@@ -252,7 +286,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     # what is left: pairs of groups in different components, and groups that are not one component
     placed = stored(member.join(comp, member.digest == comp.node, "left").select("digest", "group", F.coalesce("comp", "digest").alias("comp")), "placed")
     span = placed.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    pairs = _across(post, span, percent)
+    pairs = _across(post, span, one, percent)
     inner = span.filter("low <> high").select("group", F.col("group").alias("group2"))
     a = placed.select("group", F.col("digest").alias("a"), F.col("comp").alias("comp_a"))
     b = placed.select(F.col("group").alias("group2"), F.col("digest").alias("b"), F.col("comp").alias("comp_b"))
@@ -268,7 +302,28 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the least of their component, with their columns."""
+    """The rows of docs whose id is the least of their component, with their columns.
+
+    Rows without an id can't be told apart by it: each stays that is a component
+    of its own or has no id that is less, and none stands for others.
+    """
+    (key,) = fresh(docs, "__kept_id")
     found = jaccard_components(docs, id_col=id_col, text_col=text_col)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__kept_id"]), "left_semi")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept[key]), "left_semi")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+h AS (SELECT doc_id, s, len(s) AS n, CASE WHEN len(s) = 0 THEN NULL ELSE sha256(array_to_string(list_sort(s), chr(10))) END AS h FROM s),
+c AS (SELECT h, any_value(s) AS s, any_value(n) AS n, min(doc_id) AS low FROM h WHERE h IS NOT NULL GROUP BY h),
+p AS (SELECT h, n, unnest(s) AS g FROM c),
+x AS (SELECT a.h AS a, b.h AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM p a JOIN p b ON a.g = b.g AND a.h < b.h GROUP BY a.h, b.h),
+e AS (SELECT a, b FROM x WHERE 100 * k >= 75 * (na + nb - k)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT h AS a, h AS b FROM c UNION SELECT r.a, both_ways.b FROM r JOIN both_ways ON r.b = both_ways.a),
+k AS (SELECT r.a AS h, min(c.low) AS low FROM r JOIN c ON c.h = r.b GROUP BY r.a)
+SELECT doc_id, n AS n_shingles, coalesce(k.low, doc_id) AS component_id FROM h LEFT JOIN k USING (h)
+"""

@@ -77,7 +77,24 @@ def test_jaccard_edges(docs):
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("first", [3, 7, 13])
+@pytest.mark.parametrize("shared_by", [1, 2])
+def test_jaccard_of_a_template_family_is_linear(spark, shared_by):
+    """Pages of one template share 82 of 100 shingles, similarity 0.69: no pair may be made of them."""
+    kept = []
+    for size in (1000, 4000):
+        # the template comes last, so that 82 shingles are shared; the rest is a page's own or one of two pages'
+        rows = [(i, " ".join([f"p{i // shared_by}_{k}" for k in range(18)] + [f"t{k}" for k in range(86)])) for i in range(size)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        one = jaccard_join.prefixes(jaccard_join.shingle_classes(df, 5, 75, "doc_id", "text")).persist()
+        posted = jaccard_join.postings(one, 75)
+        assert posted.groupBy("token").count().filter(f"count >= {size // shared_by}").count() > 0
+        kept.append(jaccard_join.in_range(posted).count())
+        got = jaccard_join.jaccard_components(df)
+        assert got.groupBy("component_id").count().filter(f"count <> {shared_by}").count() == 0
+    assert kept[1] <= 5 * kept[0] and kept[1] <= 4000 * 20
+
+
+@pytest.mark.parametrize("first", [3, 4, 7, 13])
 def test_repeated_passages(docs, first):
     words = [(i, WORD.findall(t)) for i, t in texts(docs)]
     begin = {}
@@ -96,7 +113,7 @@ def test_repeated_passages(docs, first):
 
 
 def test_doubling_levels():
-    assert substring_dedup.levels(7, 13) == [7, 13] and substring_dedup.levels(3, 13) == [3, 6, 12, 13] and substring_dedup.levels(20, 13) == [13]
+    assert substring_dedup.levels(4, 13) == [4, 8, 13] and substring_dedup.levels(7, 13) == [7, 13] and substring_dedup.levels(3, 13) == [3, 6, 12, 13] and substring_dedup.levels(20, 13) == [13]
 
 
 def test_katz(docs):
