@@ -65,4 +65,4 @@ def op10_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_exact_dedup, op3_byte_bpe, op4_quality_classifier, op5_secret_scans, op6_quality_rules, op7_jaccard_join, op8_substring_dedup, op9_chat_formatting, op10_katz_scoring)}
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op7_jaccard_join": jaccard_join.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE}

@@ -36,7 +36,7 @@ from pairframe.llm.wordhash import (
     windows,
 )
 
-WORDS, FIRST = 13, 7
+WORDS, FIRST = 13, 4
 
 
 def levels(first: int, words: int) -> list[int]:
@@ -192,3 +192,13 @@ def _alone(ask):
 
     return run
 
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
+f AS (SELECT k, min(doc_id) AS low FROM v GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM v JOIN f USING (k) WHERE low < doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM w),
+left_ AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN left_ USING (doc_id)
+"""
