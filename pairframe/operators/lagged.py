@@ -42,35 +42,57 @@ def gap_days(df: DataFrame, entity: Sequence[str], order: Sequence[str], time: s
     return df.select("*", F.coalesce(gap, F.lit(default)).cast("long").alias(name))
 
 
+def _reach(alpha: float) -> int:
+    """Rows after which a value weighs less than 1e-17, whatever the gaps between values."""
+    weight = lambda g: (1 - alpha) ** g / ((1 - alpha) ** g + alpha)
+    slowest = max(weight(g) ** (1 / g) for g in range(1, math.ceil(8 / alpha)))
+    return max(1, math.ceil(math.log(1e-17) / math.log(slowest)))
+
+
 def ewma(df: DataFrame, entity: Sequence[str], order: Sequence[str], columns: Sequence[str], alpha: float = 1 / 3, suffix: str = "_ewma") -> DataFrame:
-    """Exponentially weighted mean of the rows before: y = (1 - alpha) y + alpha x.
+    """Exponentially weighted mean of the rows before: y = (1 - alpha) y + alpha x, with alpha of 0.03 to 1.
 
     The first value seeds it. Nulls leave y as it is but age it: after g rows its
-    weight is (1 - alpha)^g. Values are folded over the last K non-null ones
-    only, whose elders weigh less than 1e-17 together; alpha = 1 is the last
-    value. For alphas so small that K runs to thousands, the arrays grow with K.
+    weight is (1 - alpha)^g. So y = keep * y + gain * x with k = (1 - alpha)^g,
+    keep = k / (k + alpha) and gain = alpha / (k + alpha), and y is the product of
+    all keeps so far times a running sum of gain * x over that product. Sums and
+    products start anew every ``_reach`` rows, which keeps them in range of a
+    double: what is left of an older value than the last block's weighs less
+    than 1e-17. No row holds a list, and all columns share the sorts. alpha = 1
+    is the last value.
     """
+    if not 0.03 <= alpha <= 1:
+        raise ValueError("alpha must lie between 0.03 and 1")
     w = _spec(entity, order)
-    keep = 1 - alpha
-    reach = 0 if alpha >= 1 else max(1, math.ceil(math.log(1e-17) / math.log(keep)))
-    out = df.withColumn("__rn", F.row_number().over(w))
-    for c in columns:
-        known = Window.partitionBy(*entity, F.col(c).isNull()).orderBy(*order).rowsBetween(-reach, 0)
-        out = out.withColumn("__h", F.collect_list(F.struct(F.col(c).cast("double").alias("x"), F.col("__rn").alias("rn"))).over(known))
-        out = out.withColumn("__y", F.when(F.col(c).isNotNull(), _fold(F.col("__h"), alpha, keep)))
-        out = out.withColumn(c + suffix, F.last("__y", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).drop("__h", "__y")
-    return out.drop("__rn")
-
-
-def _fold(history: Column, alpha: float, keep: float) -> Column:
-    seed = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0).alias("rn"))
-
-    def step(acc: Column, e: Column) -> Column:
-        old = F.pow(F.lit(keep), e["rn"] - acc["rn"])
-        y = F.when(acc["y"].isNull(), e["x"]).otherwise((old * acc["y"] + alpha * e["x"]) / (old + alpha))
-        return F.struct(y.alias("y"), e["rn"].alias("rn"))
-
-    return F.aggregate(history, seed, step, lambda acc: acc["y"])
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    if alpha == 1:
+        return df.select("*", *[F.last(F.col(c).cast("double"), ignorenulls=True).over(before).alias(c + suffix) for c in columns])
+    block = _reach(alpha)
+    each = lambda make: {name: col for i, c in enumerate(columns) for name, col in make(f"__{i}", F.col(c).cast("double")).items()}
+    out = df.withColumn("__rn", F.row_number().over(w)).withColumn("__block", F.floor((F.col("__rn") - 1) / block))
+    so_far = _spec([*entity, "__block"], order).rowsBetween(Window.unboundedPreceding, 0)
+
+    def gaps(n: str, x: Column) -> dict[str, Column]:
+        return {f"{n}_k": F.when(x.isNotNull(), F.pow(F.lit(1 - alpha), F.col("__rn") - F.last(F.when(x.isNotNull(), F.col("__rn")), ignorenulls=True).over(before)))}
+
+    def logs(n: str, x: Column) -> dict[str, Column]:
+        # a keep of e^-80 is as good as none, and its inverse is in range
+        keep = F.greatest(F.ln(F.col(f"{n}_k") / (F.col(f"{n}_k") + alpha)), F.lit(-80.0))
+        return {f"{n}_log": F.sum(F.when(F.col(f"{n}_k").isNotNull(), keep).otherwise(0.0)).over(so_far)}
+
+    def own(n: str, x: Column) -> dict[str, Column]:
+        gain = F.coalesce(alpha / (F.col(f"{n}_k") + alpha), F.lit(1.0))
+        return {f"{n}_own": F.exp(f"{n}_log") * F.sum(gain * x * F.exp(-F.col(f"{n}_log"))).over(so_far)}
+
+    def ends(n: str, x: Column) -> dict[str, Column]:
+        return {f"{n}_end": F.when((F.col("__rn") - 1) % block == 0, F.coalesce(F.lag(f"{n}_own").over(w), F.lit(0.0)))}
+
+    def means(n: str, x: Column) -> dict[str, Column]:
+        return {f"{n}_y": F.when(x.isNotNull(), F.coalesce(f"{n}_own", F.lit(0.0)) + F.exp(f"{n}_log") * F.first(f"{n}_end").over(so_far))}
+
+    for step in (gaps, logs, own, ends, means):
+        out = out.select("*", *[col.alias(name) for name, col in each(step).items()])
+    return out.select(*df.columns, *[F.last(f"__{i}_y", ignorenulls=True).over(before).alias(c + suffix) for i, c in enumerate(columns)])
 
 
 def span_alpha(halflife: float) -> float:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +56,16 @@ def missing_report(df: DataFrame, columns: Sequence[str], top: int = 10) -> Data
     return long.filter("missing > 0").select("feature", "missing", F.try_divide(F.col("missing").cast("double"), F.col("rows").cast("double")).alias("missing_share")).orderBy(F.desc("missing"), "feature").limit(top)
 
 
+def missing_summary(df: DataFrame, columns: Sequence[str], patterns: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One row: rows, n_features, the share of all cells that is null, and n_{name}: how many of the columns have a part of the pattern in their name."""
+    nulls = F.count_if(F.col(columns[0]).isNull())
+    for c in columns[1:]:
+        nulls = nulls + F.count_if(F.col(c).isNull())
+    share = F.try_divide(nulls.cast("double"), (F.count("*") * len(columns)).cast("double"))
+    named = [F.lit(sum(any(part in c for part in parts) for c in columns)).alias(f"n_{name}") for name, parts in patterns.items()]
+    return df.agg(F.count("*").alias("n_rows"), F.lit(len(columns)).alias("n_features"), share.alias("missing_share"), *named)
+
+
 def key_coverage(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: distinct keys on each side, in both, and on one side only."""
     a = left.select(*keys).distinct().withColumn("l", F.lit(1))
@@ -80,6 +90,16 @@ def leak_audit(sides: DataFrame, entity: str, order: Sequence[str], column: str,
     return seen.groupBy(entity).agg(F.count("*").alias("n_rows"), F.count_if(F.col("__n") == 1).alias("n_first"), F.count_if(F.coalesce(off, F.lit(True))).alias("n_leaks"))
 
 
+def standardised(df: DataFrame, columns: Sequence[str], fit_on: Column | None = None) -> DataFrame:
+    """Columns less their mean over their population deviation, both of the rows of fit_on; a column without spread becomes 0."""
+    figures = (df if fit_on is None else df.filter(fit_on)).agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    scaled = {}
+    for c in columns:
+        mean, spread = figures[f"m_{c}"] or 0.0, figures[f"s_{c}"] or 0.0
+        scaled[c] = (F.col(c) - mean) / spread if spread > 0 else F.when(F.col(c).isNotNull(), F.lit(0.0))
+    return df.withColumns(scaled)
+
+
 def drop_same_event(df: DataFrame, measures: Sequence[str], prefixes: Sequence[str] = ("home_", "away_")) -> DataFrame:
     """Without the measures of the event itself; their lagged forms stay."""
     return df.drop(*[p + m for p in prefixes for m in measures])

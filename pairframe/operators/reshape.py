@@ -49,6 +49,11 @@ def teams(events: DataFrame, home: str = "home_team", away: str = "away_team") -
     return events.select(F.explode(F.array(home, away)).alias("team")).distinct()
 
 
+def events_of(events: DataFrame, chosen: DataFrame, side: str, team: str = "team") -> DataFrame:
+    """The events whose participant on one side (a column such as home_team) is among the chosen teams."""
+    return events.join(chosen.select(F.col(team).alias(side)).distinct(), side, "left_semi")
+
+
 def points_by_side(stats: DataFrame, events: DataFrame, key: str = "game_id", team: str = "team") -> DataFrame:
     """Points for and against of each (event, team) row, from the event table."""
     scores = events.select(key, "home_team", "home_score", "away_score")

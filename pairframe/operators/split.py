@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def split_by_season(df: DataFrame, season: str = "season") -> DataFrame:
-    """Adds split: the last two seasons test, the one before val, the rest train; with two seasons test and val.
+def split_by_season(df: DataFrame, season: str = "season", time: str = "date", key: str = "game_id") -> DataFrame:
+    """Adds split, by the number of seasons: the parts never overlap.
 
-    Fewer seasons than four leave no training rows of their own: then val is
-    train and test is the last season, and one season is an error.
+    Four and more: the last two are test, the one before val, the rest train.
+    Three: one each. Two: the last is test, and the first is cut by place in
+    (time, key) order into 70 % train and the rest val. One or none: all rows
+    are cut 70/15/15 by place. Rows without a season are train.
     """
     seasons = sorted(r[0] for r in df.select(season).distinct().filter(F.col(season).isNotNull()).collect())
     if len(seasons) < 2:
-        raise ValueError("a split by season needs two seasons; use split_by_position")
-    if len(seasons) >= 4:
-        test, val = seasons[-2:], seasons[-3:-2]
-    elif len(seasons) == 3:
-        test, val = seasons[-1:], seasons[-2:-1]
-    else:
-        test, val = seasons[-1:], []
-    name = F.when(F.col(season).isin(test), "test").when(F.col(season).isin(val), "val") if val else F.when(F.col(season).isin(test), "test")
+        return split_by_position(df, time, key)
+    if len(seasons) == 2:
+        early = split_by_position(df.filter(~F.col(season).eqNullSafe(F.lit(seasons[1]))), time, key, 0.70, 0.30)
+        last = df.filter(F.col(season) == seasons[1]).withColumn("split", F.lit("test"))
+        return early.withColumn("split", F.when(F.col("split") == "train", "train").otherwise("val")).unionByName(last)
+    tests = 1 if len(seasons) == 3 else 2
+    name = F.when(F.col(season).isin(seasons[-tests:]), "test").when(F.col(season) == seasons[-tests - 1], "val")
     return df.withColumn("split", name.otherwise("train"))
 
 

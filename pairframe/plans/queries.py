@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pairframe import functions as fn
 from pairframe import sources
-from pairframe.operators import aggregates, asof, evaluate, lagged, latest, quality, ratings, reshape, score, split
+from pairframe.operators import aggregates, asof, evaluate, lagged, latest, models, quality, ratings, reshape, score, split
 from pairframe.plans import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select([F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def off_ties(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Rounded, a little off the ties on which means of short decimals fall and which engines round apart by their order of additions."""
+    return rounded(df.select([(F.col(c) + 1e-9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]), digits)
+
+
 def sides(spark: SparkSession, d: str) -> DataFrame:
     return reshape.match_sides(v.matches(spark, d), ("game_id", "date", "season", "week", "pool"))
 
@@ -108,21 +114,16 @@ def _expanding(partition: str) -> str:
     return v.with_views(M, S) + f"SELECT game_id, team, round(avg(points_for) {over} + 1e-9, 6) AS points_for_avg, round(avg(points_against) {over} + 1e-9, 6) AS points_against_avg FROM sides"
 
 
-def _off_ties(out: DataFrame) -> DataFrame:
-    """Means over 128 rows can end in half a millionth, which the engines round apart."""
-    return rounded(out.select("game_id", "team", *[(F.col(c) + 1e-9).alias(c) for c in ("points_for_avg", "points_against_avg")]))
-
-
 @register(_expanding("team"))
 def q_expanding(spark: SparkSession, d: str) -> DataFrame:
     out = lagged.expanding_mean(sides(spark, d), ["team"], ORDER, ["points_for", "points_against"])
-    return _off_ties(out)
+    return off_ties(out.select("game_id", "team", "points_for_avg", "points_against_avg"))
 
 
 @register(_expanding("team, season"))
 def q_expanding_reset(spark: SparkSession, d: str) -> DataFrame:
     out = lagged.expanding_mean(sides(spark, d), ["team"], ORDER, ["points_for", "points_against"], ["season"])
-    return _off_ties(out)
+    return off_ties(out.select("game_id", "team", "points_for_avg", "points_against_avg"))
 
 
 @register(v.with_views(M, S) + "SELECT game_id, team, lag(points_for) OVER (PARTITION BY team ORDER BY date, game_id) AS points_for_prev FROM sides")
@@ -482,12 +483,181 @@ def q_key_coverage(spark: SparkSession, d: str) -> DataFrame:
     return quality.key_coverage(v.matches(spark, d), v.plays(spark, d).filter("play_type <> 'other'"), ["game_id"])
 
 
-@register(v.with_views(M, S) + "SELECT team, count(*) AS n_rows, 1::BIGINT AS n_first, 0::BIGINT AS n_leaks FROM sides GROUP BY team")
+_AUDIT = v.with_views(M, S) + """, n AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY date, game_id) AS rn FROM sides),
+    f AS (SELECT team, rn, avg(points_for) OVER (PARTITION BY team ORDER BY date, game_id ROWS BETWEEN {frame}) AS feature FROM n),
+    again AS (SELECT a.team, a.rn, avg(b.points_for) AS mean FROM n a LEFT JOIN n b ON b.team = a.team AND b.rn < a.rn AND b.rn >= a.rn - 3 GROUP BY a.team, a.rn)
+    SELECT team, count(*) AS n_rows, count(*) FILTER (WHERE rn = 1) AS n_first,
+           count(*) FILTER (WHERE NOT coalesce(abs(feature - mean) < 1e-9, feature IS NULL AND mean IS NULL)) AS n_leaks FROM f JOIN again USING (team, rn) GROUP BY team"""
+
+
+@register(_AUDIT.replace("{frame}", "3 PRECEDING AND 1 PRECEDING"))
 def q_leak_audit(spark: SparkSession, d: str) -> DataFrame:
     rolled = lagged.rolling_mean(reshape.match_sides(v.matches(spark, d)), ["team"], ORDER, ["points_for"], (3,))
     return quality.leak_audit(rolled, "team", ORDER, "points_for", "points_for_r3", 3)
 
 
+@register(_AUDIT.replace("{frame}", "2 PRECEDING AND CURRENT ROW"))
+def q_leak_found(spark: SparkSession, d: str) -> DataFrame:
+    """The audit over a feature whose frame takes in the event itself."""
+    own = F.avg("points_for").over(Window.partitionBy("team").orderBy(*ORDER).rowsBetween(-2, 0))
+    leaky = reshape.match_sides(v.matches(spark, d)).withColumn("leaky", own)
+    return quality.leak_audit(leaky, "team", ORDER, "points_for", "leaky", 3)
+
+
+_PATTERNS = {"score": ["score"], "team": ["team"], "time": ["season", "week", "date"]}
+_CHECKED = ["home_score", "away_score", "home_team", "away_team", "season", "week", "price"]
+
+
+@register(
+    v.with_views(M) + "SELECT count(*) AS n_rows, 7 AS n_features, round((" + " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in _CHECKED)
+    + ") / (count(*) * 7), 6) AS missing_share, 2 AS n_score, 2 AS n_team, 2 AS n_time FROM matches"
+)
+def q_missing_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(quality.missing_summary(v.matches(spark, d), _CHECKED, _PATTERNS))
+
+
+@register(v.with_views(M) + ", f AS (SELECT avg(price) AS mp, stddev_pop(price) AS sp, avg(home_score) AS mh, stddev_pop(home_score) AS sh FROM matches WHERE season <= 1998) SELECT game_id, round((price - mp) / sp, 6) AS price, round((home_score - mh) / sh, 6) AS home_score FROM matches, f")
+def q_standardised(spark: SparkSession, d: str) -> DataFrame:
+    m = v.matches(spark, d).select("game_id", "season", "price", "home_score")
+    return rounded(quality.standardised(m, ["price", "home_score"], F.col("season") <= 1998).drop("season"))
+
+
+@register(v.with_views(M) + "SELECT game_id, coalesce(try_cast(status AS DOUBLE), 0) AS status, coalesce(home_score::DOUBLE, 0) AS home_score, price::DOUBLE AS price FROM matches")
+def q_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return models.as_numbers(v.matches(spark, d).select("game_id", "status", "home_score", "price"), ["status", "home_score", "price"])
+
+
+@register(v.with_views(M) + "SELECT game_id, home_team, away_team, price, season, week FROM matches WHERE home_score IS NOT NULL AND away_score IS NOT NULL")
+def q_labelled_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with a target, without the excluded columns."""
+    m = v.matches(spark, d).dropna(subset=["home_score", "away_score"])
+    return m.select(*sources.feature_names(m, ["date", "pool", "status", "home_score", "away_score"]))
+
+
+@register(v.with_views(M) + "SELECT game_id, home_team FROM matches WHERE home_team IN (SELECT c_nationkey FROM customer WHERE c_acctbal < -950)")
+def q_one_side(spark: SparkSession, d: str) -> DataFrame:
+    poor = v.table(spark, d, "customer").filter("c_acctbal < -950").select(F.col("c_nationkey").alias("team"))
+    return reshape.events_of(v.matches(spark, d), poor, "home_team").select("game_id", "home_team")
+
+
+# --- files
+
+
+@register(v.with_views(M) + "SELECT game_id, season, week, home_team, away_team, home_score, away_score, pool FROM matches")
+def q_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Chosen columns written as CSV and read again."""
+    path = sources.scratch_path(spark, "matches.csv")
+    columns = ["game_id", "season", "week", "home_team", "away_team", "home_score", "away_score", "pool"]
+    m = v.matches(spark, d)
+    sources.write_table(m, path, columns)
+    return sources.read_table(spark, path, m.select(columns).schema)
+
+
+@register(v.with_views(M) + "SELECT game_id, season, week, pool, price FROM matches WHERE season IN (1996, 1998)")
+def q_season_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """A table written by season; only the files of the seasons asked for are read."""
+    path = sources.scratch_path(spark, "matches.parquet")
+    sources.write_table(v.matches(spark, d), path, ["game_id", "week", "pool", "price", "season"], partition_by=("season",))
+    return sources.of_seasons(sources.read_table(spark, path), (1996, 1998)).select("game_id", "season", "week", "pool", "price")
+
+
+@register(v.with_views(M) + "SELECT game_id, home_score, NULL::DOUBLE AS home_value FROM matches")
+def q_optional_table(spark: SparkSession, d: str) -> DataFrame:
+    """A left join with a table that may be absent, and is."""
+    values = sources.read_optional(spark, sources.scratch_path(spark, "absent.parquet"), "team int, home_value double")
+    return v.matches(spark, d).join(values, F.col("home_team") == F.col("team"), "left").select("game_id", "home_score", "home_value")
+
+
+@register(ORACLES["q_profile"])
+def q_profile_file(spark: SparkSession, d: str) -> DataFrame:
+    """The profile written as JSON and read again."""
+    path = sources.scratch_path(spark, "profile.json")
+    profile = q_profile(spark, d)
+    sources.write_profile(profile, path)
+    return spark.read.schema(profile.schema).json(path)
+
+
+# --- enrichment of both sides
+
+PLAY_MEASURES = [
+    "points_for", "points_against", "total_yards", "pass_yards", "rush_yards", "yards_per_play", "epa_per_play", "def_epa_per_play", "success_rate", "def_success_rate", "turnovers", "def_turnovers",
+    "third_down_rate", "redzone_td_rate", "sacks", "def_sacks", "sack_rate", "interceptions", "def_interceptions",
+]
+_PLAY_WINDOWS = (1, 3, 5, 10)
+_PLAY_FORM = [f"{c}_r{k}" for c in PLAY_MEASURES for k in _PLAY_WINDOWS]
+
+
+def play_sides(spark: SparkSession, d: str) -> DataFrame:
+    """One row per side of every match with its play statistics, null where no play was seen, and its points."""
+    m = v.matches(spark, d)
+    stats = aggregates.play_stats(v.plays(spark, d)).select("game_id", "team", *[F.col(c).cast("double").alias(c) for c in PLAY_MEASURES[2:]])
+    return reshape.match_sides(m).join(stats, ["game_id", "team"], "left")
+
+
+@register(
+    _PLAY_SQL.replace("WITH RECURSIVE ", "WITH RECURSIVE " + M + "," + S + ",") + ", b AS (SELECT sides.game_id, date, sides.team, sides.is_home, points_for, points_against, "
+    + ", ".join(f"stats.{c}::DOUBLE AS {c}" for c in PLAY_MEASURES[2:]) + " FROM sides LEFT JOIN stats ON sides.game_id = stats.game_id AND sides.team = stats.team), r AS (SELECT game_id, is_home, "
+    + _frames(PLAY_MEASURES, list(_PLAY_WINDOWS), "b", "team", "date, game_id").replace("round(avg", "(avg").replace(", 6) AS", ") AS")
+    + ") SELECT h.game_id, " + ", ".join(f"round(h.{c} + 1e-9, 5) + 0.0 AS home_{c}, round(a.{c} + 1e-9, 5) + 0.0 AS away_{c}" for c in _PLAY_FORM) + " FROM r h JOIN r a ON h.game_id = a.game_id WHERE h.is_home = 1 AND a.is_home = 0"
+)
+def q_play_form(spark: SparkSession, d: str) -> DataFrame:
+    """Rolling means of all play measures, on both sides of every match."""
+    rolled = lagged.rolling_mean(play_sides(spark, d), ["team"], ORDER, PLAY_MEASURES, _PLAY_WINDOWS)
+    both = reshape.attach_both_sides(v.matches(spark, d).select("game_id", "home_team", "away_team"), rolled, ["game_id"], _PLAY_FORM)
+    return off_ties(both.drop("home_team", "away_team"), 5)
+
+
+WEEK_METRICS = ["epa_per_play", "yards_per_play", "success_proxy", "third_down_proxy", "red_zone_proxy", "turnover_diff", "def_epa_per_play", "def_yards_per_play", "total_epa", "sacks_allowed"]
+STARTER_RATES = ["epa_rate", "completion_pct", "player_sack_rate"]
+WEEK_FORM = [*[f"{c}_r{k}" for c in WEEK_METRICS for k in (3, 5)], *[f"{c}_avg" for c in WEEK_METRICS[:8]]]
+STARTER_FORM = [f"{c}_r{k}" for c in STARTER_RATES for k in (3, 5)]
+
+
+def week_form(spark: SparkSession, d: str) -> DataFrame:
+    """(team, season, week) with trends and means of all earlier weeks."""
+    weeks = aggregates.team_week_features(aggregates.team_weeks(v.player_weeks(spark, d)))
+    trend = lagged.rolling_mean(weeks, ["team"], ["season", "week"], WEEK_METRICS, (3, 5))
+    return lagged.expanding_mean(trend, ["team"], ["season", "week"], WEEK_METRICS[:8])
+
+
+def starters(spark: SparkSession, d: str) -> DataFrame:
+    """(team, season, week) with the trends of the player with most attempts."""
+    own = lagged.rolling_mean(aggregates.player_rates(v.player_weeks(spark, d)), ["player_id"], _PLAYER_ORDER, STARTER_RATES, (3, 5)).dropna(subset=["recent_team"])
+    return latest.first_non_null_by(own, ["recent_team", "season", "week"], _starter_order(), STARTER_FORM).withColumnRenamed("recent_team", "team")
+
+
+_TREND_SQL = (
+    _WEEK_SQL + ", t AS (SELECT *, " + ", ".join(f"{sql} AS {n}" for n, sql in _TOTALS.items()) + " FROM w), tr AS (SELECT *, " + ", ".join(f"{sql} AS {n}" for n, sql in _RATES.items())
+    + " FROM t), tp AS (SELECT *, " + ", ".join(f"{sql} AS {n}" for n, sql in _PROXIES.items()) + " FROM tr), trend AS (SELECT team, season, week, "
+    + ", ".join(f"avg({c}) OVER (PARTITION BY team ORDER BY season, week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {c}_avg" for c in WEEK_METRICS[:8]) + ", "
+    + _frames(WEEK_METRICS, [3, 5], "tp", "team", "season, week").replace("round(avg", "(avg").replace(", 6) AS", ") AS") + ")"
+    + ", e AS (SELECT *, passing_epa / nullif(attempts, 0) AS epa_rate, completions / nullif(attempts, 0) AS completion_pct, sacks / nullif(attempts + sacks, 0) AS player_sack_rate FROM player_weeks), ef AS (SELECT *, "
+    + _frames(STARTER_RATES, [3, 5], "e", "player_id", ", ".join(_PLAYER_ORDER)).replace("round(avg", "(avg").replace(", 6) AS", ") AS") + "), starter AS (SELECT recent_team AS team, season, week, "
+    + ", ".join(f"first({c} ORDER BY {_STARTER_ORDER}) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in STARTER_FORM) + " FROM ef WHERE recent_team IS NOT NULL GROUP BY ALL)"
+)
+
+
+@register(
+    _TREND_SQL.replace("WITH RECURSIVE ", "WITH RECURSIVE " + M + ",") + " SELECT m.game_id, "
+    + ", ".join(f"round({t}.{c} + 1e-9, 5) + 0.0 AS {p}_{c}" for p, ts in (("home", ("ht", "hs")), ("away", ("at_", "as_"))) for t, cs in zip(ts, (WEEK_FORM, STARTER_FORM), strict=True) for c in cs)
+    + " FROM matches m " + " ".join(f"LEFT JOIN {table} {t} ON {t}.team = m.{side} AND {t}.season = m.season AND {t}.week = m.week" for side, ts in (("home_team", ("ht", "hs")), ("away_team", ("at_", "as_"))) for t, table in zip(ts, ("trend", "starter"), strict=True))
+)
+def q_week_sides(spark: SparkSession, d: str) -> DataFrame:
+    """Team weeks and starters on both sides of every match of that season and week."""
+    m = v.matches(spark, d).select("game_id", "season", "week", "home_team", "away_team")
+    both = reshape.attach_both_sides(m, week_form(spark, d), ["season", "week"], WEEK_FORM)
+    both = reshape.attach_both_sides(both, starters(spark, d), ["season", "week"], STARTER_FORM)
+    return off_ties(both.drop("season", "week", "home_team", "away_team"), 5)
+
+
+@register(v.with_views(M, S) + "SELECT game_id, team, " + _frames(["points_for", "points_against"], [3], "sides", "team", "date, game_id"))
+def q_clean_features(spark: SparkSession, d: str) -> DataFrame:
+    """Without what the event itself brought."""
+    rolled = lagged.rolling_mean(sides(spark, d), ["team"], ORDER, ["points_for", "points_against"], (3,))
+    clean = quality.drop_same_event(rolled, ["points_for", "points_against"], prefixes=("",))
+    return rounded(clean.drop("date", "season", "week", "pool", "opponent", "is_home"))
+
+
 # --- splits, metrics, scoring
 
 
@@ -499,6 +669,25 @@ def q_split_season(spark: SparkSession, d: str) -> DataFrame:
     return split.split_by_season(v.matches(spark, d)).select("game_id", "split")
 
 
+_FEW = v.with_views(M) + """, n AS (SELECT game_id, season, row_number() OVER (ORDER BY date, game_id) - 1 AS i, count(*) OVER () AS n, row_number() OVER (PARTITION BY season ORDER BY date, game_id) - 1 AS j, count(*) OVER (PARTITION BY season) AS m FROM matches WHERE season IN ({seasons}))
+    SELECT game_id, {split} AS split FROM n"""
+
+
+@register(_FEW.format(seasons="1996, 1997, 1998", split="CASE season WHEN 1996 THEN 'train' WHEN 1997 THEN 'val' ELSE 'test' END"))
+def q_split_three(spark: SparkSession, d: str) -> DataFrame:
+    return split.split_by_season(sources.of_seasons(v.matches(spark, d), (1996, 1997, 1998))).select("game_id", "split")
+
+
+@register(_FEW.format(seasons="1996, 1997", split="CASE WHEN season = 1997 THEN 'test' WHEN j < CAST(floor(0.70::DOUBLE * m) AS BIGINT) THEN 'train' ELSE 'val' END"))
+def q_split_two(spark: SparkSession, d: str) -> DataFrame:
+    return split.split_by_season(sources.of_seasons(v.matches(spark, d), (1996, 1997))).select("game_id", "split")
+
+
+@register(_FEW.format(seasons="1996", split="CASE WHEN i < CAST(floor(0.70::DOUBLE * n) AS BIGINT) THEN 'train' WHEN i < CAST(floor((0.70::DOUBLE + 0.15::DOUBLE) * n) AS BIGINT) THEN 'val' ELSE 'test' END"))
+def q_split_one(spark: SparkSession, d: str) -> DataFrame:
+    return split.split_by_season(sources.of_seasons(v.matches(spark, d), (1996,))).select("game_id", "split")
+
+
 @register(
     v.with_views(M) + """, n AS (SELECT game_id, row_number() OVER (ORDER BY date, game_id) - 1 AS i, count(*) OVER () AS n FROM matches)
     SELECT game_id, CASE WHEN i < CAST(floor(0.70::DOUBLE * n) AS BIGINT) THEN 'train' WHEN i < CAST(floor((0.70::DOUBLE + 0.15::DOUBLE) * n) AS BIGINT) THEN 'val' ELSE 'test' END AS split FROM n"""

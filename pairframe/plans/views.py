@@ -39,6 +39,21 @@ matches AS (
   FROM orders JOIN m_lines ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE c_nationkey <> s_nationkey)"""
 
+#: Heights of the venues that lie high, by their name.
+ALTITUDES = {"1-URGENT": 5280, "2-HIGH": 4500}
+
+
+def match_context(spark: SparkSession, d: str) -> DataFrame:
+    """matches with venue, surface, roof, kick-off, temperature, wind, spread and odds, all made of an order's own figures; some are missing."""
+    c = F.col
+    some = lambda k, value: F.when(c("game_id") % k != 0, value)
+    return matches(spark, d).select(
+        "*", c("pool").alias("venue"), F.when(c("status") == "O", "grass").when(c("status") == "F", "FieldTurf").alias("surface"), F.when(c("game_id") % 3 == 0, "dome").when(c("game_id") % 3 == 1, "outdoors").alias("roof"),
+        (c("date") + F.make_dt_interval(hours=(c("game_id") % 24).cast("int"))).alias("kickoff"), some(13, (c("price") % 100)).cast("double").alias("temp"), some(11, (c("game_id") % 27)).cast("double").alias("wind"),
+        some(7, c("game_id") % 29 - 14).cast("string").alias("spread_line"), some(5, c("game_id") % 601 - 300).cast("string").alias("odds"),
+    )
+
+
 SIDES = """
 sides AS (
   SELECT game_id, date, season, week, pool, 1 AS is_home, home_team AS team, away_team AS opponent, home_score AS points_for, away_score AS points_against FROM matches

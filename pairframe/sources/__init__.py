@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.errors import AnalysisException
@@ -86,3 +88,22 @@ def write_feature_names(df: DataFrame, path: str, exclude: Iterable[str] = ()) -
     """One name a line; as many rows as df has columns, so one file."""
     names = df.sparkSession.createDataFrame([(n,) for n in feature_names(df, exclude)], "name string")
     names.coalesce(1).sortWithinPartitions("name").write.mode("overwrite").text(path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only a session on one machine may go without; it gets a folder of its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pairframe-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_dir(spark)}/pairframe-{uuid.uuid4().hex}/{name}"

@@ -173,8 +173,10 @@ def test_splits(spark):
     got = split.split_by_position(df, "t", "id").groupBy("split").count().collect()
     assert {r.split: r["count"] for r in got} == {"train": 14, "val": 3, "test": 3}
     assert {(r.season, r.split) for r in split.split_by_season(df).select("season", "split").distinct().collect()} == {(2000, "train"), (2001, "val"), (2002, "test"), (2003, "test")}
-    with pytest.raises(ValueError):
-        split.split_by_season(df.filter("season = 2000"))
+    parts = lambda most: {(r.season, r.split): r["count"] for r in split.split_by_season(df.filter(f"season <= {most}"), time="t", key="id").groupBy("season", "split").count().collect()}
+    assert parts(2002) == {(2000, "train"): 5, (2001, "val"): 5, (2002, "test"): 5}
+    assert parts(2001) == {(2000, "train"): 3, (2000, "val"): 2, (2001, "test"): 5}
+    assert parts(2000) == {(2000, "train"): 3, (2000, "val"): 1, (2000, "test"): 1}
 
 
 def test_states_default_by_side(spark):
@@ -211,3 +213,49 @@ def test_empty_tables(games):
     none = games.limit(0)
     assert ratings.elo(none, "pool").count() == 0
     assert lagged.ewma(reshape.match_sides(none), ["team"], ["date", "game_id"], ["points_for"]).count() == 0
+
+
+def test_standardised_and_summary(spark):
+    df = spark.createDataFrame([(1.0, 5.0, None), (3.0, 5.0, 1.0), (None, 5.0, 1.0)], "a double, b double, home_c double")
+    assert [tuple(r) for r in quality.standardised(df, ["a", "b"]).select("a", "b").collect()] == [(-1.0, 0.0), (1.0, 0.0), (None, 0.0)]
+    got = quality.missing_summary(df, ["a", "b", "home_c"], {"side": ["home", "away"]}).first()
+    assert (got.n_rows, got.n_features, got.n_side) == (3, 3, 1) and math.isclose(got.missing_share, 2 / 9)
+
+
+def test_states_meet_moments_of_their_own_days_only(spark):
+    """Many states and many moments of one key: rows come out for matches, and a state open at both ends holds everywhere."""
+    log = spark.createDataFrame([("t", p, DAY(d, 6), 10 * p + d, "out" if d % 2 else "active") for p in range(4) for d in range(0, 12, p + 1)], "team string, player_id int, date timestamp_ntz, event_id int, status string")
+    sides = spark.createDataFrame([(k, "t", DAY(k // 3, 12 * (k % 3))) for k in range(45)], "game_id int, team string, date timestamp_ntz")
+    values = spark.createDataFrame([(0, 2.0), (1, 4.0)], "player_id int, value double")
+    for days in (1, 4):
+        got = {r.game_id: r.impact for r in asof.loss_score(sides, log, values, days=days).collect()}
+        entries, moments = [tuple(r) for r in log.collect()], {r.game_id: r.date for r in sides.collect()}
+        for k, at in moments.items():
+            held = {}
+            for _, p, since, key, status in sorted(entries, key=lambda e: (e[2], e[3])):
+                if since <= at:
+                    held[p] = status
+            known = [v for p, v in ((0, 2.0), (1, 4.0)) if p in held]
+            typical = sum(known) / len(known) if known else 1.0
+            assert math.isclose(got[k], sum({0: 2.0, 1: 4.0}.get(p, typical) for p, s in held.items() if s == "out"))
+
+
+@pytest.mark.parametrize("alpha", [0.03, 1 / 3, 0.9])
+def test_ewma_over_long_series_and_gaps(spark, alpha):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(e, i, None if rnd.random() < 0.3 or 300 < i < 900 else rnd.uniform(-50, 50), float(i % 7) if e else None) for e in (0, 1) for i in range(2500)]
+    got = lagged.ewma(spark.createDataFrame(rows, "e int, i int, x double, z double"), ["e"], ["i"], ["x", "z"], alpha)
+    found = {(r.e, r.i): (r.x_ewma, r.z_ewma) for r in got.collect()}
+    for e in (0, 1):
+        state = [(None, 1.0), (None, 1.0)]
+        for i, *values in [r[1:] for r in rows if r[0] == e]:
+            for k, x in enumerate(values):
+                y, w = state[k]
+                assert (found[e, i][k] is None) == (y is None) and (y is None or math.isclose(found[e, i][k], y, rel_tol=1e-9, abs_tol=1e-9)), (e, i, k)
+                if x is not None:
+                    old = w * (1 - alpha)
+                    state[k] = (x if y is None else (old * y + alpha * x) / (old + alpha), 1.0)
+                elif y is not None:
+                    state[k] = (y, w * (1 - alpha))
