@@ -53,7 +53,9 @@ def bpe_tokens(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
     """One row per row of docs: doc_id, ids (array<int>), decoded (binary, the bytes the ids stand for).
 
     Null counts as empty; an empty text has no ids. Text that looks like a
-    special token is ordinary text. Other columns are ignored.
+    special token is ordinary text. Texts over ``LONG`` characters are encoded
+    whole, piece by piece. Repeated rows and ties of ids get a row each, an
+    empty table gives none; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairframe.sources import scratch_path
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -16,20 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="pairframe-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named
-
-
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write df under the shared folder and read it back: lineage ends here and lost executors lose nothing."""
+    """Write df under the shared folder and read it back: lineage ends here and lost executors lose nothing.
+
+    What is read back lives as long as the query's result is wanted; the
+    pairframe-* folders may go once that is written.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pairframe-{uuid.uuid4().hex}/{name}"
+    path = scratch_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
 

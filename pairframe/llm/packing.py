@@ -5,7 +5,7 @@ Every source is a queue of its documents' tokens. In each round a source earns
 ``segment`` tokens) as far as its credit reaches; what it can't spend stays as
 its deficit for the next round, in whatever window or partition that falls. A
 packet that ends at queue position e is therefore sent in round
-(e - 1) div (quantum * share), so no task has to walk the rounds: two prefix
+ceil(e / (quantum * share)) - 1, so no task has to walk the rounds: two prefix
 sums over small tables, one per source and one over rounds, give every packet
 its place in the packed stream, which is then cut into windows of ``length``.
 
@@ -132,7 +132,7 @@ def pack(
     cut = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / segment)), lambda k: k * segment)
     marked = meta.join(starts, ["source", "part"]).select("part", "row", "source", credit.alias("credit"), "n", (F.col("begin") + F.col("queued")).alias("at"), cut.alias("cuts"))
     # the round of the packet that begins at each cut; runs of one round are sent as one
-    sent_in = F.transform("cuts", lambda k: F.floor((F.col("at") + F.least(F.col("n"), k + segment) - 1) / F.col("credit")))
+    sent_in = F.transform("cuts", lambda k: (F.ceil((F.col("at") + F.least(F.col("n"), k + segment)) / F.col("credit")) - 1))
     rounds = marked.select("*", sent_in.alias("rounds"))
     heads = F.filter(F.arrays_zip("cuts", "rounds"), lambda x, i: (i == 0) | (x["rounds"] != F.get("rounds", i - 1)))
     runs = rounds.select("part", "row", "source", "n", "at", heads.alias("heads"))

@@ -78,8 +78,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Rows whose crc32 of the id as text is 1 modulo 3 are held out of learning.
-    Null and empty texts are scored by their all-zero statistics. With no usable
-    labels every score is the same prior.
+    Null and empty texts are scored by their all-zero statistics, long ones
+    whole. With no usable labels every score is the same prior. Labels that are
+    null or in conflict are left out; repeated rows and ties of ids get a row
+    each, an empty table gives none; other columns are ignored.
     """
     renamed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     stats = stored(text_stats(renamed, "text", ["doc_id"]), "stats").withColumn("held_out", id_crc() % 3 == 1)

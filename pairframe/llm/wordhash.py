@@ -90,6 +90,9 @@ def windows(hashes: np.ndarray, counts: np.ndarray, length: int, seed: int = 1)
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
+    """The ``width`` low bytes of every value, byte by byte; a value that needs more is an error."""
+    if width < 8 and len(values) and int(values.max()) >> (8 * width):
+        raise OverflowError(f"a value does not fit in {width} bytes")
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 

@@ -121,7 +121,7 @@ def test_entropy_scan_is_linear(spark):
     rnd = random.Random(3)
     seconds = []
     for size in (250_000, 1_000_000):
-        run = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(size))
+        run = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWabcdefghijklmnopqrstuvw0123456789") for _ in range(size))
         df = spark.createDataFrame([(1, run)], "doc_id int, text string")
         for _ in range(2):
             began = time.perf_counter()
@@ -129,3 +129,154 @@ def test_entropy_scan_is_linear(spark):
         seconds.append(time.perf_counter() - began)
         assert [(s.start, s.end) for s in r.secret_spans] == [(0, size)]
     assert seconds[1] < 60 and seconds[1] < 8 * max(seconds[0], 0.5)
+
+
+def test_op3_byte_bpe(spark, odd):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for (i, t), n in texts(spark, odd).items():
+        ids = enc.encode_ordinary(t)
+        want[i, len(ids), sha(",".join(map(str, ids))), sha(t)] += n
+    assert max(len(t) for _, t in texts(spark, odd)) > 1 << 16
+    assert answers(spark, "op3_byte_bpe", odd, "n_tokens", "ids_sha256", "decoded_sha256") == want
+
+
+def test_op1_mixture_packing(spark, odd):
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = Counter()
+    for (i, t), n in texts(spark, odd).items():
+        ids[i, np.array([*made.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()] += n
+    known = {i: data for i, data in ids}
+    rows = queries.op1_mixture_packing(spark, odd).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset").collect()
+    covered, windows = Counter(), {}
+    for r in rows:
+        data = known[r.doc_id]
+        assert (r.ids_crc32, r.doc_tokens) == (zlib.crc32(data[4 * r.start : 4 * (r.start + r.length)]), len(data) // 4)
+        covered.update((r.doc_id, k) for k in range(r.start, r.start + r.length))
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert covered == Counter({(i, k): n for (i, data), n in ids.items() for k in range(len(data) // 4)})
+    sizes = {w: sum(n for _, n in parts) for w, parts in windows.items()}
+    assert all(sorted(parts)[k][0] == sum(n for _, n in sorted(parts)[:k]) for parts in windows.values() for k in range(len(parts)))
+    assert sorted(windows) == list(range(len(windows))) and sum(n != 2048 for n in sizes.values()) <= 11 and all(n & (n - 1) == 0 for n in sizes.values())
+
+
+def test_packing_is_deficit_round_robin(spark):
+    """The packed stream against a round robin that is walked round by round, with given weights and default settings."""
+    from pairframe.llm import packing
+
+    rows = [(k, " ".join(f"word{(k * 7 + j) % 50}" for j in range(k * 37 % 400)), "abc"[k % 3]) for k in range(120)]
+    weights = {"a": 5.0, "b": 1.0, "c": 2.0}
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    got = packing.pack(table, P.path("byte_bpe_50k.json"), P.PATTERN, 1, weights=spark.createDataFrame(list(weights.items()), "source string, weight double")).collect()
+    stream = [(r.doc_id, r.start + k) for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)) for k in range(r.length)]
+    enc = packing.encoder(P.path("byte_bpe_50k.json"), P.PATTERN)
+    queue = {s: [(i, at, min(64, n - at)) for i, t, source in rows if source == s for n in [len(enc.encode_ordinary(t)) + 1] for at in range(0, n, 64)] for s in weights}
+    deficit, want = dict.fromkeys(weights, 0.0), []
+    while any(queue.values()):
+        for s in sorted(weights):
+            deficit[s] += weights[s] / 8.0 * 2048
+            while queue[s] and queue[s][0][2] <= deficit[s] + 1e-9:
+                i, at, n = queue[s].pop(0)
+                deficit[s] -= n
+                want += [(i, at + k) for k in range(n)]
+    assert stream == want
+    # as long as all queues last, every window has each source's share but for a packet at either end
+    source = {i: s for i, _, s in rows}
+    for w in range(3):
+        mix = Counter(source[i] for i, _ in stream[2048 * w : 2048 * (w + 1)])
+        assert all(abs(mix[s] - 2048 * weights[s] / 8) <= 2 * 64 for s in weights)
+
+
+def test_op4_quality_classifier(spark, odd, monkeypatch):
+    """Scores against the fitted rules, evaluated one by one in Python."""
+    import math
+
+    from pairframe.llm import quality_model
+    from pairframe.llm.stats import text_stats
+
+    fitted, fit = [], quality_model.fit_rules
+    monkeypatch.setattr(quality_model, "fit_rules", lambda sample: fitted.append(fit(sample)) or fitted[-1])
+    got = queries.op4_quality_classifier(spark, odd)
+    ((intercept, weights),) = fitted
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 3 == 1
+    want = Counter()
+    for r in text_stats(spark.read.parquet(f"{odd}/documents.parquet").select("doc_id", "text"), "text", ["doc_id"]).collect():
+        margin = intercept + sum(w for rule, w in weights if all(r[f] > cut if above else r[f] <= cut for f, above, cut in rule))
+        p = 1 / (1 + math.exp(-margin))
+        want[r.doc_id, held(r.doc_id), round(p, 9), int(p >= 0.5)] += 1
+    assert weights and Counter((r.doc_id, r.held_out, round(r.score, 9), r.predicted) for r in got.collect()) == want
+
+
+def test_op6_quality_rules(spark, odd):
+    want = Counter()
+    for (i, t), n in texts(spark, odd).items():
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        seen, cover = Counter(zip(w, w[1:], w[2:])), set()
+        for k in range(len(w) - 2):
+            if seen[tuple(w[k : k + 3])] > 1:
+                cover |= {k, k + 1, k + 2}
+        failed = len(w) < 50 or 100 * len(cover) > 50 * len(w)
+        want[i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(cover), failed] += n
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert answers(spark, "op6_quality_rules", odd, *columns) == want
+    assert queries.op6_quality_rules(spark, odd).filter("kept and base_failed").count() == 0
+
+
+def test_op9_chat_formatting(spark, sf):
+    from pairframe.llm import chat
+
+    turns = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        turns.setdefault(r.conv_id, []).append((r.turn, (r.role or "").strip().lower(), r.text or ""))
+    got = {r.conv_id: r for r in queries.op9_chat_formatting(spark, sf).collect()}
+    assert set(got) == set(turns)
+    follows = {None: ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
+    for i, given in turns.items():
+        # least cost by relaxing over (turns used, last role) until nothing changes
+        roles = [r for _, r, _ in sorted(given)]
+        best = {(0, None): 0}
+        changed = True
+        while changed:
+            changed = False
+            for (k, last), cost in list(best.items()):
+                moves = [((k, e), cost + 2) for e in follows[last] if e != "system"]
+                if k < len(roles):
+                    for role in chat.ROLES:
+                        label = 1 if roles[k] not in chat.ROLES else 0 if roles[k] == role else 3
+                        moves += [((k + 1, role), cost + label + (1 if role == last else 0))] if role == last or role in follows[last] else []
+                for state, c in moves:
+                    if c < best.get(state, 10**9):
+                        best[state], changed = c, True
+        want = min(best.get((len(roles), end), 10**9) for end in ("assistant", None))
+        r = got[i]
+        made = r.roles.split(",") if r.roles else []
+        assert r.cost == want and r.n_turns == len(given), i
+        assert all(b in follows[a] for a, b in zip([None, *made], made)) and (not made or made[-1] == "assistant")
+        assert all(t in r.rendered for _, _, t in given)
+
+
+def test_op10_katz_scoring(spark, odd):
+    from math import isclose, log10
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    tokens = [((i, t), n, [*WORD.findall(t.translate(lower)), ""]) for (i, t), n in texts(spark, odd).items()]
+    count = Counter()
+    for (i, _), n, w in tokens:
+        if not held(i):
+            count.update({x: n * k for x, k in Counter(w).items()})
+    total = sum(count.values())
+    got = {}
+    for r in queries.op10_katz_scoring(spark, odd).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for (i, _), n, w in tokens:
+        base = sum(log10((count[x] + 1) / (total + len(count) + 1)) for x in w)
+        mine = [r for r in got[i] if isclose(r.base_score, base, rel_tol=1e-9)]
+        assert len(mine) == n and all((r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(w), sum(count[x] > 0 for x in w), total) and r.score < 0 for r in mine), i
