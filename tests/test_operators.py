@@ -168,6 +168,25 @@ def test_metrics_edges(spark):
     assert [r.n for r in evaluate.confusion(df).orderBy("actual", "predicted").collect()] == [1, 0, 2, 0]
 
 
+def test_metrics_by_group_are_those_of_each_group(spark):
+    rows = [(m, s, (i * 7 + k) % 3 % 2, ((i * 31 + k * 17) % 23) / 22) for k, (m, s) in enumerate([("a", "val"), ("a", "test"), ("b", "val")]) for i in range(40 + 9 * k)]
+    rows += [("one", "val", 1, 0.7), ("one", "val", 1, 0.2), ("none", "val", 0, None), ("none", "val", None, 0.5)]
+    df = spark.createDataFrame(rows, "model string, split string, label int, probability double").withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
+    got = {(r.model, r.split): tuple(r)[2:] for r in evaluate.metrics(df, by=["model", "split"]).collect()}
+    assert len(got) == 5 and got["one", "val"][2] is None
+    for (m, s), figures in got.items():
+        part = df.filter((F.col("model") == m) & (F.col("split") == s))
+        apart = (one(evaluate.accuracy(part)), one(evaluate.log_loss(part)), one(evaluate.auc(part)))
+        assert figures == tuple(x if x is None else pytest.approx(x, abs=1e-12) for x in apart)
+        assert tuple(evaluate.metrics(part).first()) == figures
+        if m in "ab":
+            pairs = [((x.label, x.probability), (y.label, y.probability)) for x in part.collect() for y in part.collect() if x.label == 1 and y.label == 0]
+            assert figures[2] == pytest.approx(sum(1.0 if x[1] > y[1] else 0.5 if x[1] == y[1] else 0.0 for x, y in pairs) / len(pairs))
+    assert tuple(evaluate.metrics(df.limit(0)).first()) == (None, None, None) and evaluate.metrics(df.limit(0), by=["model"]).count() == 0
+    board = evaluate.leaderboard({m: df.filter(F.col("model") == m) for m in ("a", "b")}).collect()
+    assert {r.model for r in board} == {"a", "b"} and board[0].accuracy >= board[1].accuracy
+
+
 def test_splits(spark):
     df = spark.createDataFrame([(i, i // 5, 2000 + i // 5) for i in range(20)], "id int, t int, season int")
     got = split.split_by_position(df, "t", "id").groupBy("split").count().collect()
