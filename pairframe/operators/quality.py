@@ -14,23 +14,31 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if t in NUMERIC or t.startswith("decimal")]
 
 
+def _quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
 def medians(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
     """One row: the exact median of every column, or an approximate one where tables are too large for exact."""
-    pick = (lambda c: F.percentile_approx(c, 0.5, 100_000)) if approximate else F.median
-    return df.agg(*[pick(F.col(c)).cast("double").alias(c) for c in columns])
+    pick = "percentile_approx({0}, 0.5, 100000)" if approximate else "median({0})"
+    return df.selectExpr(*[f"CAST({pick.format(_quoted(c))} AS DOUBLE) AS {_quoted(c)}" for c in columns])
 
 
 def impute(df: DataFrame, columns: Sequence[str], fit_on: Column | None = None, flags: bool = True, approximate: bool = False) -> DataFrame:
     """Numbers get their median (0 if there is none), strings 'missing'; every listed column gets a {c}_missing flag.
 
     fit_on restricts the rows the medians come from, so that later rows don't leak.
+    Expressions are text, as building some hundred columns call by call takes
+    longer than filling them.
     """
-    numbers = [c for c in columns if c in set(numeric_columns(df))]
+    numeric, listed = set(numeric_columns(df)), set(columns)
+    numbers = [c for c in columns if c in numeric]
     typical = medians(df if fit_on is None else df.filter(fit_on), numbers, approximate).first() if numbers else {}
-    fill = {c: F.lit(float(typical[c] if typical[c] is not None else 0.0)) for c in numbers} | {c: F.lit("missing") for c, t in df.dtypes if t == "string" and c in columns}
-    out = [F.coalesce(F.col(c).cast("double") if c in numbers else F.col(c), fill[c]).alias(c) if c in fill else F.col(c) for c in df.columns]
-    marks = [F.col(c).isNull().cast("int").alias(f"{c}_missing") for c in columns] if flags else []
-    return df.select(*out, *marks)
+    fill = {c: f"double('{float(typical[c] if typical[c] is not None else 0.0)!r}')" for c in numbers} | {c: "'missing'" for c, t in df.dtypes if t == "string" and c in listed}
+    own = {c: f"double({_quoted(c)})" if c in numeric else _quoted(c) for c in fill}
+    out = [f"coalesce({own[c]}, {fill[c]}) AS {_quoted(c)}" if c in fill else _quoted(c) for c in df.columns]
+    marks = [f"int({_quoted(c)} IS NULL) AS {_quoted(c + '_missing')}" for c in columns] if flags else []
+    return df.selectExpr(*out, *marks)
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
