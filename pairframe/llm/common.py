@@ -24,7 +24,17 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    out = spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forgotten(*frames: DataFrame) -> None:
+    """Remove what ``stored`` wrote for these frames, when no later step reads it."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path.getParent(), True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

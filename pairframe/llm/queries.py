@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairframe.llm import bpe, chat, exact_dedup, jaccard_join, katz, packing, quality_model, quality_rules, secrets, substring_dedup
+from pairframe.llm import bpe, chat, exact_dedup, filter_audit, jaccard_join, katz, packing, quality_model, quality_rules, secrets, substring_dedup, suffix_dedup, vector_codes
 from pairframe.llm.common import table
 
 
@@ -64,5 +64,20 @@ def op10_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_exact_dedup, op3_byte_bpe, op4_quality_classifier, op5_secret_scans, op6_quality_rules, op7_jaccard_join, op8_substring_dedup, op9_chat_formatting, op10_katz_scoring)}
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op7_jaccard_join": jaccard_join.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    found = vector_codes.with_label_error(codes)
+    return found.select("vec_id", vector_codes.hex_digits("code").alias("code"), "error", "label_error", F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_exact_dedup, op3_byte_bpe, op4_quality_classifier, op5_secret_scans, op6_quality_rules, op7_jaccard_join, op8_substring_dedup, op9_chat_formatting, op10_katz_scoring, op11_vector_codes, op12_filter_audit, op13_suffix_dedup)}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op7_jaccard_join": jaccard_join.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op12_filter_audit": filter_audit.ORACLE, "op13_suffix_dedup": suffix_dedup.ORACLE}

@@ -32,7 +32,7 @@ def odd(spark, sf, tmp_path_factory):
     rows = spark.createDataFrame([(i, t, "en", "hot", 0) for i, t in extra], "doc_id long, text string, lang string, source string, n_chars long")
     clash = ["n_words", "kept", "secret_spans", "n_tokens", "score", "src", "__text", "__w", "part", "row"]
     docs.unionByName(rows).withColumns({c: F.lit("clash") for c in clash}).repartition(5).write.parquet(f"{home}/documents.parquet")
-    for name in ("labels", "conversations"):
+    for name in ("labels", "conversations", "embeddings"):
         spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{home}/{name}.parquet")
     return str(home)
 
@@ -41,7 +41,7 @@ def odd(spark, sf, tmp_path_factory):
 def bare(spark, sf, tmp_path_factory):
     """Empty tables."""
     home = tmp_path_factory.mktemp("bare")
-    for name in ("documents", "labels", "conversations"):
+    for name in ("documents", "labels", "conversations", "embeddings"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{home}/{name}.parquet")
     return str(home)
 
@@ -62,7 +62,8 @@ def test_empty_tables(spark, bare, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "labels", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     got, want = queries.QUERIES[name](spark, sf), con.sql(queries.ORACLES[name])
     order = sorted(got.columns)
     assert order == sorted(want.columns)
