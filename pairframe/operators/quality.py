@@ -1,4 +1,4 @@
-"""Profiles, imputation and audits. All figures of a call come from one aggregation."""
+"""Profiles, imputation and audits. All figures of a call but exact medians come from one aggregation."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairframe.operators.select import middle, ranked
+
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -18,10 +20,12 @@ def _quoted(name: str) -> str:
     return f"`{name.replace('`', '``')}`"
 
 
-def medians(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
-    """One row: the exact median of every column, or an approximate one where tables are too large for exact."""
-    pick = "percentile_approx({0}, 0.5, 100000)" if approximate else "median({0})"
-    return df.selectExpr(*[f"CAST({pick.format(_quoted(c))} AS DOUBLE) AS {_quoted(c)}" for c in columns])
+def medians(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> dict[str, float | None]:
+    """The exact median of every column, by counting within brackets (see ``select``), or an approximate one in a single pass; None without values."""
+    if not approximate:
+        return {c: middle(values) for c, values in ranked(df, columns).items()}
+    found = df.selectExpr(*[f"CAST(percentile_approx({_quoted(c)}, 0.5, 100000) AS DOUBLE) AS {_quoted(c)}" for c in columns])
+    return found.first().asDict()
 
 
 def impute(df: DataFrame, columns: Sequence[str], fit_on: Column | None = None, flags: bool = True, approximate: bool = False) -> DataFrame:
@@ -33,7 +37,7 @@ def impute(df: DataFrame, columns: Sequence[str], fit_on: Column | None = None,
     """
     numeric, listed = set(numeric_columns(df)), set(columns)
     numbers = [c for c in columns if c in numeric]
-    typical = medians(df if fit_on is None else df.filter(fit_on), numbers, approximate).first() if numbers else {}
+    typical = medians(df if fit_on is None else df.filter(fit_on), numbers, approximate) if numbers else {}
     fill = {c: f"double('{float(typical[c] if typical[c] is not None else 0.0)!r}')" for c in numbers} | {c: "'missing'" for c, t in df.dtypes if t == "string" and c in listed}
     own = {c: f"double({_quoted(c)})" if c in numeric else _quoted(c) for c in fill}
     out = [f"coalesce({own[c]}, {fill[c]}) AS {_quoted(c)}" if c in fill else _quoted(c) for c in df.columns]
@@ -44,6 +48,7 @@ def impute(df: DataFrame, columns: Sequence[str], fit_on: Column | None = None,
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: dtype, missing count and share, and min, max, mean, median of numbers."""
     kinds, numbers = dict(df.dtypes), set(numeric_columns(df))
+    typical = medians(df, [c for c in columns if c in numbers])
 
     def one(c: str) -> Column:
         x = F.col(c)
@@ -51,7 +56,7 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         return F.struct(
             F.lit(c).alias("feature"), F.lit(kinds[c]).alias("dtype"), F.count_if(x.isNull()).alias("missing"),
             F.try_divide(F.count_if(x.isNull()).cast("double"), F.count("*").cast("double")).alias("missing_share"),
-            value(F.min).alias("min"), value(F.max).alias("max"), value(F.avg).alias("mean"), value(F.median).alias("median"),
+            value(F.min).alias("min"), value(F.max).alias("max"), value(F.avg).alias("mean"), F.lit(typical.get(c)).cast("double").alias("median"),
         )
 
     return df.agg(F.array(*[one(c) for c in columns]).alias("rows")).select(F.inline("rows"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from pairframe.operators.select import row_at
 
 
 def split_by_season(df: DataFrame, season: str = "season", time: str = "date", key: str = "game_id") -> DataFrame:
@@ -30,14 +31,10 @@ def split_by_season(df: DataFrame, season: str = "season", time: str = "date", k
 def split_by_position(df: DataFrame, time: str, key: str, train: float = 0.70, val: float = 0.15) -> DataFrame:
     """Adds split by place in (time, key) order: train up to int(train * n), val up to int((train + val) * n), then test.
 
-    Rows are counted by time; running counts over those few rows give each time
-    its first place, and places within one time are numbered within it.
+    The rows at the two places are found by counting within brackets, and every
+    other row is compared with them: nothing is sorted or numbered. Null times
+    come first; rows equal in time and key are in one part.
     """
     n = df.count()
-    counts = df.groupBy(time).count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy(time).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col(time).alias("__t"), before.alias("__before"))
-    numbered = df.withColumn("__n", F.row_number().over(Window.partitionBy(time).orderBy(key)) - 1)
-    place = F.col("__before") + F.col("__n")
-    split = F.when(place < int(train * n), "train").when(place < int((train + val) * n), "val").otherwise("test")
-    return numbered.join(starts, F.col(time) == F.col("__t")).withColumn("split", split).drop("__n", "__t", "__before")
+    early, later = (row_at(df, [time, key], int(share * n)) for share in (train, train + val))
+    return df.withColumn("split", F.when(early, "train").when(later, "val").otherwise("test"))

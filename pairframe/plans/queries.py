@@ -41,6 +41,11 @@ def off_ties(df: DataFrame, digits: int = 6) -> DataFrame:
     return rounded(df.select([(F.col(c) + 1e-9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]), digits)
 
 
+def quarter() -> Column:
+    """Blocks of lagged statistics: few teams with many rows each are dealt out by spans of 90 days."""
+    return lagged.time_block("date")
+
+
 def sides(spark: SparkSession, d: str) -> DataFrame:
     return reshape.match_sides(v.matches(spark, d), ("game_id", "date", "season", "week", "pool"))
 
@@ -90,7 +95,7 @@ def q_upcoming(spark: SparkSession, d: str) -> DataFrame:
            (home_rest_days < 7)::INT AS short_week_home, (away_rest_days < 7)::INT AS short_week_away FROM wide"""
 )
 def q_gap_days(spark: SparkSession, d: str) -> DataFrame:
-    gaps = lagged.gap_days(sides(spark, d), ["team"], ORDER, "date")
+    gaps = lagged.gap_days(sides(spark, d), ["team"], ORDER, "date", block=quarter())
     wide = reshape.widen(gaps, "game_id", ["rest_days"])
     home, away = F.col("home_rest_days"), F.col("away_rest_days")
     return wide.select(
@@ -105,7 +110,7 @@ def _frames(columns: list[str], windows: list[int], table: str, entity: str, ord
 
 @register(v.with_views(M, S) + "SELECT game_id, team, " + _frames(["points_for", "points_against"], [1, 3, 5, 10], "sides", "team", "date, game_id"))
 def q_rolling(spark: SparkSession, d: str) -> DataFrame:
-    rolled = lagged.rolling_mean(sides(spark, d), ["team"], ORDER, ["points_for", "points_against"])
+    rolled = lagged.rolling_mean(sides(spark, d), ["team"], ORDER, ["points_for", "points_against"], block=quarter())
     return rounded(rolled.select("game_id", "team", *[c for c in rolled.columns if "_r" in c and c.startswith("points")]))
 
 
@@ -116,19 +121,19 @@ def _expanding(partition: str) -> str:
 
 @register(_expanding("team"))
 def q_expanding(spark: SparkSession, d: str) -> DataFrame:
-    out = lagged.expanding_mean(sides(spark, d), ["team"], ORDER, ["points_for", "points_against"])
+    out = lagged.expanding_mean(sides(spark, d), ["team"], ORDER, ["points_for", "points_against"], block=quarter())
     return off_ties(out.select("game_id", "team", "points_for_avg", "points_against_avg"))
 
 
 @register(_expanding("team, season"))
 def q_expanding_reset(spark: SparkSession, d: str) -> DataFrame:
-    out = lagged.expanding_mean(sides(spark, d), ["team"], ORDER, ["points_for", "points_against"], ["season"])
+    out = lagged.expanding_mean(sides(spark, d), ["team"], ORDER, ["points_for", "points_against"], ["season"], block=quarter())
     return off_ties(out.select("game_id", "team", "points_for_avg", "points_against_avg"))
 
 
 @register(v.with_views(M, S) + "SELECT game_id, team, lag(points_for) OVER (PARTITION BY team ORDER BY date, game_id) AS points_for_prev FROM sides")
 def q_previous(spark: SparkSession, d: str) -> DataFrame:
-    return lagged.previous(sides(spark, d), ["team"], ORDER, ["points_for"]).select("game_id", "team", "points_for_prev")
+    return lagged.previous(sides(spark, d), ["team"], ORDER, ["points_for"], block=quarter()).select("game_id", "team", "points_for_prev")
 
 
 @register(
@@ -142,7 +147,7 @@ def q_previous(spark: SparkSession, d: str) -> DataFrame:
     SELECT game_id, team, round(before, 6) AS points_for_ewma FROM f"""
 )
 def q_ewma(spark: SparkSession, d: str) -> DataFrame:
-    out = lagged.ewma(sides(spark, d), ["team"], ORDER, ["points_for"], lagged.span_alpha(3))
+    out = lagged.ewma(sides(spark, d), ["team"], ORDER, ["points_for"], lagged.span_alpha(3), block=quarter())
     return rounded(out.select("game_id", "team", "points_for_ewma"))
 
 
@@ -158,7 +163,7 @@ _FORM = ["points_for_r3", "points_for_r5", "points_against_r3", "points_against_
 def q_basic_form(spark: SparkSession, d: str) -> DataFrame:
     """Each side's recent form before every event, and the difference."""
     m = v.matches(spark, d)
-    rolled = lagged.rolling_mean(reshape.match_sides(m), ["team"], ORDER, ["points_for", "points_against"], (3, 5))
+    rolled = lagged.rolling_mean(reshape.match_sides(m), ["team"], ORDER, ["points_for", "points_against"], (3, 5), quarter())
     both = reshape.attach_both_sides(m.select("game_id", "home_team", "away_team"), rolled, ["game_id"], _FORM)
     return rounded(fn.pair_differences(both, exclude=["team"]).select("game_id", "home_team", "away_team", *[f"{p}_{c}" for p in ("home", "away", "diff", "abs_diff") for c in _FORM]))
 
@@ -492,7 +497,7 @@ _AUDIT = v.with_views(M, S) + """, n AS (SELECT *, row_number() OVER (PARTITION
 
 @register(_AUDIT.replace("{frame}", "3 PRECEDING AND 1 PRECEDING"))
 def q_leak_audit(spark: SparkSession, d: str) -> DataFrame:
-    rolled = lagged.rolling_mean(reshape.match_sides(v.matches(spark, d)), ["team"], ORDER, ["points_for"], (3,))
+    rolled = lagged.rolling_mean(reshape.match_sides(v.matches(spark, d)), ["team"], ORDER, ["points_for"], (3,), quarter())
     return quality.leak_audit(rolled, "team", ORDER, "points_for", "points_for_r3", 3)
 
 
@@ -602,7 +607,7 @@ def play_sides(spark: SparkSession, d: str) -> DataFrame:
 )
 def q_play_form(spark: SparkSession, d: str) -> DataFrame:
     """Rolling means of all play measures, on both sides of every match."""
-    rolled = lagged.rolling_mean(play_sides(spark, d), ["team"], ORDER, PLAY_MEASURES, _PLAY_WINDOWS)
+    rolled = lagged.rolling_mean(play_sides(spark, d), ["team"], ORDER, PLAY_MEASURES, _PLAY_WINDOWS, quarter())
     both = reshape.attach_both_sides(v.matches(spark, d).select("game_id", "home_team", "away_team"), rolled, ["game_id"], _PLAY_FORM)
     return off_ties(both.drop("home_team", "away_team"), 5)
 
@@ -616,8 +621,8 @@ STARTER_FORM = [f"{c}_r{k}" for c in STARTER_RATES for k in (3, 5)]
 def week_form(spark: SparkSession, d: str) -> DataFrame:
     """(team, season, week) with trends and means of all earlier weeks."""
     weeks = aggregates.team_week_features(aggregates.team_weeks(v.player_weeks(spark, d)))
-    trend = lagged.rolling_mean(weeks, ["team"], ["season", "week"], WEEK_METRICS, (3, 5))
-    return lagged.expanding_mean(trend, ["team"], ["season", "week"], WEEK_METRICS[:8])
+    trend = lagged.rolling_mean(weeks, ["team"], ["season", "week"], WEEK_METRICS, (3, 5), F.col("season"))
+    return lagged.expanding_mean(trend, ["team"], ["season", "week"], WEEK_METRICS[:8], block=F.col("season"))
 
 
 def starters(spark: SparkSession, d: str) -> DataFrame:
@@ -653,7 +658,7 @@ def q_week_sides(spark: SparkSession, d: str) -> DataFrame:
 @register(v.with_views(M, S) + "SELECT game_id, team, " + _frames(["points_for", "points_against"], [3], "sides", "team", "date, game_id"))
 def q_clean_features(spark: SparkSession, d: str) -> DataFrame:
     """Without what the event itself brought."""
-    rolled = lagged.rolling_mean(sides(spark, d), ["team"], ORDER, ["points_for", "points_against"], (3,))
+    rolled = lagged.rolling_mean(sides(spark, d), ["team"], ORDER, ["points_for", "points_against"], (3,), quarter())
     clean = quality.drop_same_event(rolled, ["points_for", "points_against"], prefixes=("",))
     return rounded(clean.drop("date", "season", "week", "pool", "opponent", "is_home"))
 
