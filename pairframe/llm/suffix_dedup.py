@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,29 +151,46 @@ def first_cells(length: int):
     return run
 
 
+def _rows_by_size(sizes: np.ndarray, most: int = 2 * BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``most`` bytes each."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield at, end
+        at = end
+
+
 def cut_cells(length: int, run_length: int):
     """Texts with their unresolved cells to runs of windows, or to single windows."""
     core = length - run_length + 1
 
+    def cut(data: bytes, s: np.ndarray, m: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, ...]:
+        gram, anchor = grams(data), s + a
+        # runs are aligned on the anchor: number k holds the windows that start k * run_length bytes and more before it
+        k0, k1 = (a - m + 1) // run_length, a // run_length
+        many = k1 - k0 + 1
+        own = np.repeat(np.arange(len(s)), many)
+        k = k0[own] + np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+        top = anchor[own] - k * run_length
+        lo, hi = np.maximum(s[own], top - run_length + 1), np.minimum((s + m - 1)[own], top)
+        size = hi - lo + 1
+        bucket = wide_identifier(gram, top, np.full(len(top), core)) if run_length > 1 else identifier(gram, lo, 128)
+        return own, lo, size, anchor[own] - lo, bucket, wide_identifier(gram, lo, length - 1 + size), np.ones(len(lo), np.int64)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, (text, todo) in enumerate(zip(batch.column("body"), batch.column("todo"), strict=True)):
-                s, m, a = (np.array(x, np.int64) for x in zip(*((t["s"], t["m"], t["a"]) for t in todo.as_py()), strict=True))
-                gram = grams(text.as_py())
-                anchor = s + a
-                # runs are aligned on the anchor: number k holds the windows that start k * run_length bytes and more before it
-                k0, k1 = (a - m + 1) // run_length, a // run_length
-                many = k1 - k0 + 1
-                own = np.repeat(np.arange(len(s)), many)
-                k = k0[own] + np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
-                top = anchor[own] - k * run_length
-                lo, hi = np.maximum(s[own], top - run_length + 1), np.minimum((s + m - 1)[own], top)
-                size = hi - lo + 1
-                bucket = wide_identifier(gram, top, np.full(len(top), core)) if run_length > 1 else identifier(gram, lo, 128)
-                out.append((np.full(len(lo), i), lo, size, anchor[own] - lo, bucket, wide_identifier(gram, lo, length - 1 + size), np.ones(len(lo), np.int64)))
-            if out:
-                yield _emit(batch.column("doc_id"), batch.column("th"), out)
+            texts, todo = batch.column("body"), batch.column("todo")
+            sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+            for at, end in _rows_by_size(sizes):
+                data = b"".join(texts.slice(at, end - at).to_pylist())
+                held = todo.slice(at, end - at)
+                cells_ = held.flatten()
+                row = np.repeat(np.arange(end - at), np.diff(held.offsets.to_numpy()))
+                start = (np.cumsum(sizes[at:end]) - sizes[at:end])[row]
+                s, m, a = (cells_.field(c).to_numpy().astype(np.int64) for c in ("s", "m", "a"))
+                own, lo, *rest = cut(data, s + start, m, a)
+                yield _emit(batch.column("doc_id"), batch.column("th"), [(at + row[own], lo - start[own], *rest)])
 
     return run
 
