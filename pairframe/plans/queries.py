@@ -642,11 +642,18 @@ _TREND_SQL = (
 )
 
 
-@register(
-    _TREND_SQL.replace("WITH RECURSIVE ", "WITH RECURSIVE " + M + ",") + " SELECT m.game_id, "
-    + ", ".join(f"round({t}.{c} + 1e-9, 5) + 0.0 AS {p}_{c}" for p, ts in (("home", ("ht", "hs")), ("away", ("at_", "as_"))) for t, cs in zip(ts, (WEEK_FORM, STARTER_FORM), strict=True) for c in cs)
-    + " FROM matches m " + " ".join(f"LEFT JOIN {table} {t} ON {t}.team = m.{side} AND {t}.season = m.season AND {t}.week = m.week" for side, ts in (("home_team", ("ht", "hs")), ("away_team", ("at_", "as_"))) for t, table in zip(ts, ("trend", "starter"), strict=True))
+_WEEK_SIDES_SQL = _TREND_SQL.replace("WITH RECURSIVE ", "WITH RECURSIVE " + M + ",")
+_WEEK_SIDES_FROM = " FROM matches m " + " ".join(f"LEFT JOIN {table} {t} ON {t}.team = m.{side} AND {t}.season = m.season AND {t}.week = m.week" for side, ts in (("home_team", ("ht", "hs")), ("away_team", ("at_", "as_"))) for t, table in zip(ts, ("trend", "starter"), strict=True))
+_WEEK_SIDES = {f"{p}_{c}": f"{t}.{c}" for p, ts in (("home", ("ht", "hs")), ("away", ("at_", "as_"))) for t, cs in zip(ts, (WEEK_FORM, STARTER_FORM), strict=True) for c in cs}
+#: Matches with team weeks and starters on both sides, gaps filled with exact medians.
+TEAM_WEEK_TABLE = (
+    _WEEK_SIDES_SQL + ", base AS (SELECT m.*, " + ", ".join(f"{x} AS {n}" for n, x in _WEEK_SIDES.items()) + _WEEK_SIDES_FROM
+    + ") SELECT game_id, date, season, week, pool, home_team, away_team, status, " + ", ".join(f"round({c} + 1e-9, 5) AS {c}" for c in ("home_score", "away_score", "price")) + ", "
+    + ", ".join(f"round(coalesce({n}, median({n}) OVER (), 0) + 1e-9, 5) + 0.0 AS {n}" for n in _WEEK_SIDES) + " FROM base"
 )
+
+
+@register(_WEEK_SIDES_SQL + " SELECT m.game_id, " + ", ".join(f"round({x} + 1e-9, 5) + 0.0 AS {n}" for n, x in _WEEK_SIDES.items()) + _WEEK_SIDES_FROM)
 def q_week_sides(spark: SparkSession, d: str) -> DataFrame:
     """Team weeks and starters on both sides of every match of that season and week."""
     m = v.matches(spark, d).select("game_id", "season", "week", "home_team", "away_team")

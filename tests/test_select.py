@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from pairframe.operators import asof, quality, select, split
+from pairframe.operators import asof, evaluate, quality, select, split
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +79,18 @@ def test_states_make_no_rows_between_moments(spark):
     assert {r.event_id: (r["__at"], r["__all"]) for r in rows.collect()} == {0: (0, 3), 1: (1, 3), 2: (1, 3), 3: (1, 3), 4: (1, 3), 10: (1, 1)}
     held = asof.asof_state(rows, ["team", "player"], "since", "event_id", "status")
     assert sorted(map(tuple, held.collect())) == [("A", "p", "active", 1), ("A", "p", "active", 2), ("A", "p", "out", 0), ("A", "q", "out", 1), ("A", "q", "out", 2)]
+
+
+def test_running_counts_over_parts_of_equal_depth(spark):
+    """Scores in a hair's breadth of 0.5 spread over all parts, in order, and the AUC is exact."""
+    rng = random.Random(3)
+    rows = [(rng.randrange(2), 0.5 + rng.random() * 1e-9 if k % 50 else rng.random()) for k in range(6000)] + [(1, 0.5)] * 50 + [(0, 0.5)] * 70
+    df = spark.createDataFrame(rows, "label int, probability double")
+    by_score = df.groupBy(F.col("probability").alias("s")).agg(F.count_if(F.col("label") == 0).alias("n"))
+    parts = evaluate.in_depth(by_score).groupBy("part").agg(F.count("*").alias("rows"), F.min("s").alias("low"), F.max("s").alias("high")).orderBy("part").collect()
+    assert len(parts) > 900 and max(p["rows"] for p in parts) < 40 and all(a.high < b.low for a, b in zip(parts, parts[1:]))
+    ones, zeros = (sorted(p for y, p in rows if y == k) for k in (1, 0))
+    import bisect
+
+    won = sum(bisect.bisect_left(zeros, p) + (bisect.bisect_right(zeros, p) - bisect.bisect_left(zeros, p)) / 2 for p in ones)
+    assert evaluate.auc(df).first()[0] == pytest.approx(won / len(ones) / len(zeros), abs=1e-12)
