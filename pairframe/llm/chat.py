@@ -83,14 +83,14 @@ def repair(roles: list[str | None], costs: Costs = Costs()) -> tuple[int, list[t
 
 def rendered(turns: list[tuple[int, int | None]], texts: list[str]) -> tuple[list[str], list[str]]:
     """Roles and texts of the repaired turns; merged texts are joined by a line break."""
-    roles, out = [], []
+    roles: list[str] = []
+    parts: list[list[str]] = []
     for role, i in turns:
-        if role == -1:
-            out[-1] += "\n" + texts[i]
-        else:
+        if role != -1:
             roles.append(ROLES[role])
-            out.append("" if i is None else texts[i])
-    return roles, out
+            parts.append([])
+        parts[-1].append("" if i is None else texts[i])
+    return roles, ["\n".join(p) for p in parts]
 
 
 def format_chats(turns: DataFrame, costs: Costs = Costs(), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -100,7 +100,10 @@ def format_chats(turns: DataFrame, costs: Costs = Costs(), conv_col: str = "conv
     in lower case without outer spaces; null texts are empty. Repeated rows are
     turns of their own, and a null conv_id is one conversation. An empty table
     gives no rows; other columns are ignored. Conversations are dealt out by a
-    hash, many to a task; one conversation is repaired within one task.
+    hash, many to a task; one conversation is repaired within one task, in time
+    and memory in proportion to its turns. Texts are rendered as they are: one
+    that holds ``<|end|>`` or a role's mark looks like a turn's end or start in
+    ``rendered``, while ``roles`` and ``texts`` keep turns apart.
     """
     spread = 4 * shuffle_partitions(turns.sparkSession)
     rows = turns.select(
