@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
-from pairframe.plans.queries import ORACLES, QUERIES
+from pairframe.plans import queries, training
 
+ORACLES, QUERIES = queries.ORACLES | training.ORACLES, queries.QUERIES | {n: training.QUERIES[n] for n in training.ORACLES}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
