@@ -2,20 +2,24 @@
 
 Lengths are counted first. Prefixes are hashed only in rows whose length
 repeats, and whole texts only in rows whose (length, prefix) repeats. What
-survives a level reaches the next scan as a bitmap of fixed size (``BITS``), so
-no text is shuffled and nothing that grows with the corpus is broadcast; a false
-positive of a bitmap only costs one more hash.
+survives a level reaches the next scan as a bitmap with ``SLOTS`` bits and more
+for every survivor, so no text is shuffled to find copies. A bitmap is broadcast
+and never larger than ``MOST_BITS`` (256 MB, enough for 10^8 survivors); beyond
+that it fills up, and a false positive costs one more hash of a text that the
+scan has read already, which is less than shuffling texts to the survivors.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairframe.llm.common import ascii_lower, fresh, stored
 
-#: Bits of a filter between two scans: 4 MB at most, whatever the corpus.
-BITS = 1 << 25
+#: Bits of a filter between two scans: SLOTS for every key, rounded up to a power of two, in rows of 4 KB.
+SLOTS, LEAST_BITS, MOST_BITS = 16, 1 << 15, 1 << 31
 PREFIX_CHARS = 64
 #: A text with more than a share of 1/HOT of all rows is hot; there are fewer than HOT of them.
 HOT = 1000
@@ -30,39 +34,75 @@ def full_hash(text: Column) -> Column:
     return F.sha2(normalised(text).cast("binary"), 256)
 
 
-def _slot(*key: str) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(BITS))
+def filter_bits(keys: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (SLOTS * keys - 1).bit_length() if keys else 0))
+
+
+@dataclass(frozen=True)
+class Bitmap:
+    """rows (bucket, bitmap) of a filter of so many bits over the columns ``key``."""
+
+    rows: DataFrame
+    bits: int
+    key: tuple[str, ...]
+
+    def slot(self) -> Column:
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.bits))
+
+    def flag(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows with a flag: whether the filter has the slot of their key."""
+        bucket, bit, bitmap = fresh(rows, "bucket", "bit", "bitmap")
+        place = rows.withColumns({bucket: F.bitmap_bucket_number(self.slot()), bit: F.bitmap_bit_position(self.slot())})
+        byte = F.conv(F.hex(F.substring(bitmap, (F.col(bit) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = F.col(bitmap).isNotNull() & (byte.bitwiseAND(F.expr(f"shiftleft(1, cast(`{bit}` % 8 as int))")) != 0)
+        found = place.join(F.broadcast(self.rows.toDF(bucket, bitmap)), bucket, "left")
+        return found.withColumn(name, F.coalesce(hit, F.lit(False))).drop(bucket, bit, bitmap)
+
+
+def bitmap_of(keys: DataFrame) -> Bitmap:
+    """The filter of the rows of keys, sized by their number."""
+    made = Bitmap(keys, filter_bits(keys.count()), tuple(keys.columns))
+    slots = keys.select(F.bitmap_bucket_number(made.slot()).alias("bucket"), F.bitmap_bit_position(made.slot()).alias("bit"))
+    return replace(made, rows=slots.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap")))
 
 
-def _bitmap(survivors: DataFrame, *key: str) -> DataFrame:
-    """(bucket, bitmap): the slots of the keys, at most 1024 rows of 4 KB."""
-    slots = survivors.select(F.bitmap_bucket_number(_slot(*key)).alias("bucket"), F.bitmap_bit_position(_slot(*key)).alias("bit"))
-    return slots.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+@dataclass(frozen=True)
+class Levels:
+    """The filters of repeated lengths and of repeated (length, prefix) of a table's texts."""
 
+    lengths: Bitmap
+    pairs: Bitmap
 
-def _among(rows: DataFrame, bits: DataFrame, flag: str, *key: str) -> DataFrame:
-    """rows with a flag: whether the bitmap has the slot of their key."""
-    place = rows.withColumn("bucket", F.bitmap_bucket_number(_slot(*key))).withColumn("bit", F.bitmap_bit_position(_slot(*key)))
-    byte = F.conv(F.hex(F.substring("bitmap", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.col("bitmap").isNotNull() & (byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0)
-    return place.join(F.broadcast(bits), "bucket", "left").withColumn(flag, F.coalesce(hit, F.lit(False))).drop("bucket", "bit", "bitmap")
+    def flag(self, scan: DataFrame) -> DataFrame:
+        """scan (n_bytes, content, ..) with prefix (null where the length is unique) and again (length and prefix repeat)."""
+        return self.pairs.flag(_with_prefix(scan, self.lengths), "in_pair").withColumn("again", F.col("same_length") & F.col("in_pair")).drop("same_length", "in_pair")
 
 
-def refined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
+def _with_prefix(scan: DataFrame, lengths: Bitmap) -> DataFrame:
+    start = F.xxhash64(normalised(F.substring("content", 1, PREFIX_CHARS)))
+    return lengths.flag(scan, "same_length").withColumn("prefix", F.when(F.col("same_length"), start))
+
+
+def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.octet_length(text).alias("n_bytes"), text.alias("content"))
+
+
+def levels(scan: DataFrame) -> Levels:
+    """Two passes over a scan: lengths that repeat, then prefixes that repeat among these. Keys are counted and stored, texts are not."""
+    lengths = bitmap_of(stored(scan.groupBy("n_bytes").agg(F.count("*").alias("n")).filter("n > 1").select("n_bytes"), "lengths"))
+    pairs = _with_prefix(scan, lengths).filter("same_length").groupBy("n_bytes", "prefix").agg(F.count("*").alias("n")).filter("n > 1")
+    return Levels(lengths, bitmap_of(stored(pairs.select("n_bytes", "prefix"), "pairs")))
+
+
+def refined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False, known: Levels | None = None) -> DataFrame:
     """doc_id, row, n_bytes, prefix (null where the length is unique), again (length and prefix repeat), digest (null unless again or digest_all).
 
     Rows are small and are stored once, so that every later step sees the same
     row numbers.
     """
-    norm = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    scan = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.octet_length(norm).alias("n_bytes"), norm.alias("content"))
-    start = F.xxhash64(normalised(F.substring("content", 1, PREFIX_CHARS)))
-
-    lengths = scan.groupBy("n_bytes").agg(F.count("*").alias("n")).filter("n > 1")
-    with_length = lambda rows: _among(rows, _bitmap(lengths, "n_bytes"), "same_length", "n_bytes").withColumn("prefix", F.when(F.col("same_length"), start))
-    pairs = with_length(scan).filter("same_length").groupBy("n_bytes", "prefix").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = with_length(scan.withColumn("row", F.monotonically_increasing_id()))
-    rows = _among(rows, _bitmap(pairs, "n_bytes", "prefix"), "in_pair", "n_bytes", "prefix").withColumn("again", F.col("same_length") & F.col("in_pair"))
+    scan = _scan(docs, id_col, text_col)
+    rows = (known or levels(scan)).flag(scan.withColumn("row", F.monotonically_increasing_id()))
     digest = F.sha2(ascii_lower(F.col("content")).cast("binary"), 256)
     return stored(rows.select("doc_id", "row", "n_bytes", "prefix", "again", (digest if digest_all else F.when(F.col("again"), digest)).alias("digest")), "digests")
 
@@ -76,7 +116,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays. text_sha256 is null for texts never hashed in full, unless digest_all.
     An empty table gives no rows; other columns of docs are ignored.
     """
-    rows = refined(docs, id_col, text_col, digest_all)
+    return verdicts(refined(docs, id_col, text_col, digest_all)).select(
+        "doc_id",
+        F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        "kept",
+        F.col("digest").alias("text_sha256"),
+    )
+
+
+def verdicts(rows: DataFrame) -> DataFrame:
+    """The rows of ``refined`` with n and top (doc_id, row) of their group, null for texts without a copy, and kept."""
     # one shuffle of small rows by the full key; hot groups are combined before it
     groups = (
         rows.filter("again")
@@ -92,22 +142,30 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.when(F.col("again") & F.col("hot_n").isNull(), F.col("digest")).otherwise(F.col("row").cast("string"))
     cold = groups.filter(F.col("n") <= most).select(F.col("digest").alias("key"), "n", "top")
     out = rows.withColumn("key", key).join(cold, "key", "left").withColumns({"n": F.coalesce("hot_n", "n"), "top": F.coalesce("hot_top", "top")})
-    return out.select(
-        "doc_id",
-        F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"),
-        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("n").isNull() | (F.col("top.row") == F.col("row"))).alias("kept"),
-        F.col("digest").alias("text_sha256"),
-    )
+    return out.withColumn("kept", F.col("n").isNull() | (F.col("top.row") == F.col("row")))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with their columns. Text is shuffled once, by keys that no two kept rows share."""
-    key, digest = fresh(docs, "__id", "__sha")
-    kept = exact_dedup(docs, id_col, text_col, digest_all=True).filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"))
-    rows = docs.withColumn(key, F.col(f"`{id_col}`")).withColumn(digest, full_hash(F.col(f"`{text_col}`")))
-    found = rows.join(kept, rows[key].eqNullSafe(kept["__kept_id"]) & (rows[digest] == kept["__kept_sha"]), "left_semi")
-    return found.dropDuplicates([key, digest]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that exact_dedup keeps, with their columns.
+
+    A row is found again by its id and its key: the digest where length and
+    prefix repeat, else length and prefix, which no other row has. So a text is
+    hashed in full only where it may have a copy. Text is shuffled once, by keys
+    that no two kept rows share.
+    """
+    known = levels(_scan(docs, id_col, text_col))
+    key = F.when(F.col("again"), F.col("digest")).otherwise(F.concat_ws(":", "n_bytes", "prefix"))
+    kept = verdicts(refined(docs, id_col, text_col, known=known)).filter("kept")
+    kept = kept.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), key.alias("key"))
+
+    id_of = F.col("doc").getField(id_col)
+    scan = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    text = F.coalesce(F.col("doc").getField(text_col).cast("string"), F.lit(""))
+    rows = known.flag(scan.select("doc", F.octet_length(text).alias("n_bytes"), text.alias("content")))
+    rows = rows.withColumn("digest", F.when(F.col("again"), F.sha2(ascii_lower(F.col("content")).cast("binary"), 256)))
+    rows = rows.select("doc", id_of.isNull().alias("no_id"), F.coalesce(id_of.cast("string"), F.lit("")).alias("id"), key.alias("key"))
+    found = rows.join(kept, ["no_id", "id", "key"], "left_semi").dropDuplicates(["no_id", "id", "key"])
+    return found.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE = """

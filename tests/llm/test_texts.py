@@ -72,6 +72,33 @@ def test_exact_dedup_refines_level_by_level(spark, docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_filters_grow_with_their_keys(spark):
+    sizes = [exact_dedup.filter_bits(n) for n in (0, 1, 2048, 2049, 10**6, 10**8, 10**12)]
+    assert sizes == [1 << 15, 1 << 15, 1 << 15, 1 << 16, 1 << 24, 1 << 31, 1 << 31]
+    keys = spark.range(50_000).select((F.col("id") * 7).alias("key"))
+    made = exact_dedup.bitmap_of(keys)
+    got = made.flag(spark.range(350_000).withColumnRenamed("id", "key"), "there").groupBy(F.col("key") % 7 == 0, "there").count().collect()
+    found = {(member, there): n for member, there, n in got}
+    # every key is found, and of the others fewer than one in SLOTS
+    assert found[True, True] == 50_000 and (True, False) not in found and found[False, True] < 300_000 / exact_dedup.SLOTS
+
+
+def test_drop_copies_hashes_survivors_only(spark, monkeypatch):
+    """Texts that no other row can equal aren't hashed in full; ids and rows may repeat, columns may clash."""
+    rows = [(1, "A" * 90, "x"), (2, "a" * 90, "y"), (2, "b" * 90, "y"), (2, "b" * 90, "y"), (None, "c" * 90, "z"), (None, "C" * 90, "z"), (None, None, None), (3, "", "w"), (4, "d" * 90, "v"), (5, "alone", "u"), (None, "e" * 64 + "1", "t"), (None, "e" * 64 + "2", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in ("key", "id", "no_id", "bucket", "digest", "again", "prefix", "n_bytes", "content", "row")})
+    seen, keep = [], exact_dedup.refined
+    monkeypatch.setattr(exact_dedup, "refined", lambda *a, **k: seen.append(keep(*a, **k)) or seen[-1])
+    got = exact_dedup.drop_copies(docs)
+    assert got.dtypes == docs.dtypes
+    kept = sorted(((r.doc_id, (r.text or "").lower(), r.key) for r in got.collect()), key=str)
+    want = [(2, "a" * 90), (2, "b" * 90), (None, "c" * 90), (3, ""), (4, "d" * 90), (5, "alone"), (None, "e" * 64 + "1"), (None, "e" * 64 + "2")]
+    assert kept == sorted(((i, t, "clash") for i, t in want), key=str)
+    (stats,) = seen
+    assert stats.filter("digest is null").count() == 2 and stats.filter("digest is null and again").count() == 0
+    assert exact_dedup.drop_copies(docs.limit(0)).count() == 0
+
+
 def test_exact_dedup_of_hot_texts(spark):
     hot = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, "Hot").when(F.col("id") % 3 == 1, F.concat(F.lit("n"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("p"), (F.col("id") % 500).cast("string"))).alias("text"))
     got = {r.doc_id: r for r in exact_dedup.exact_dedup(hot.withColumnRenamed("id", "doc_id")).collect()}
