@@ -1,18 +1,18 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Every source is a queue of its documents' tokens. In each round a source earns
-``quantum`` times its target share and sends queued packets (documents, cut at
-``segment`` tokens) as far as its credit reaches; what it can't spend stays as
-its deficit for the next round, in whatever window or partition that falls. A
-packet that ends at queue position e is therefore sent in round
-ceil(e / (quantum * share)) - 1, so no task has to walk the rounds: two prefix
-sums over small tables, one per source and one over rounds, give every packet
-its place in the packed stream, which is then cut into windows of ``length``.
-
-Between any two points of the stream a source's tokens differ from its share by
-less than one quantum's credit and one packet, as long as all queues last. With
-the quantum of one window that holds for every window's mix. Neighbouring
-packets of a document that go in one round stay one piece.
+``quantum`` times its target share as credit and sends as many whole tokens as
+its credit reaches; the fraction it can't spend stays as its deficit for the
+next round, in whatever window or partition that falls. Round r of a source with
+credit c therefore sends its tokens from floor(r c) up to floor((r + 1) c), so no
+task has to walk the rounds: two prefix sums over small tables, one per source
+and one over rounds, give every piece its place in the packed stream, which is
+then cut into windows of ``length``.
+
+A round's tokens differ from each source's credit by less than one, and with the
+quantum of one window a window holds one round but for fewer tokens than there
+are sources. So every window has the target mix to that precision, as long as
+all queues last. A document is cut where the rounds of its source end.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from pyspark.sql.window import Window
 from pairframe.llm.bpe import encode
 from pairframe.llm.common import stored
 
-#: A round fills one window, so the quantum is the length; packets are small against a usual source's share of it.
-LENGTH, SEGMENT, QUANTUM = 2048, 64, 2048
+#: A round fills one window, so the quantum is the length.
+LENGTH, QUANTUM = 2048, 2048
 BLOCK = 1024
 
 
@@ -99,7 +99,6 @@ def pack(
     end_id: int,
     weights: DataFrame | None = None,
     length: int = LENGTH,
-    segment: int = SEGMENT,
     quantum: int = QUANTUM,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -129,15 +128,16 @@ def pack(
     before = F.sum("tokens").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = parts.select("source", "part", F.coalesce(before, F.lit(0)).alias("begin")).join(sources, "source")
     credit = F.greatest(F.col("weight") / F.lit(float(mass)) * F.lit(float(quantum)), F.lit(1e-6))
-    cut = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / segment)), lambda k: k * segment)
-    marked = meta.join(starts, ["source", "part"]).select("part", "row", "source", credit.alias("credit"), "n", (F.col("begin") + F.col("queued")).alias("at"), cut.alias("cuts"))
-    # the round of the packet that begins at each cut; runs of one round are sent as one
-    sent_in = F.transform("cuts", lambda k: (F.ceil((F.col("at") + F.least(F.col("n"), k + segment)) / F.col("credit")) - 1))
-    rounds = marked.select("*", sent_in.alias("rounds"))
-    heads = F.filter(F.arrays_zip("cuts", "rounds"), lambda x, i: (i == 0) | (x["rounds"] != F.get("rounds", i - 1)))
-    runs = rounds.select("part", "row", "source", "n", "at", heads.alias("heads"))
-    ends = F.transform("heads", lambda x, i: F.struct(x["cuts"].alias("start"), (F.coalesce(F.get("heads", i + 1)["cuts"], F.col("n")) - x["cuts"]).alias("n"), x["rounds"].alias("round")))
-    packets = runs.select("part", "row", "source", "at", F.explode(ends).alias("run")).select("part", "row", "source", F.col("run.start").alias("start"), F.col("run.n").alias("n"), (F.col("at") + F.col("run.start")).alias("at"), F.col("run.round").alias("round"))
+    marked = meta.join(starts, ["source", "part"]).select("part", "row", "source", credit.alias("credit"), "n", (F.col("begin") + F.col("queued")).alias("at"))
+    last, c = F.col("at") + F.col("n") - 1, F.col("credit")
+    begun = lambda r: F.floor(r * c)
+    # rounds tile the queue, so one more at either end makes rounding harmless: what isn't the document's is empty
+    rounds = F.transform(F.sequence(F.floor(F.col("at") / c) - 1, F.floor(last / c) + 1), lambda r: F.struct(r.alias("round"), F.greatest(begun(r), "at").alias("at"), F.least(begun(r + 1), last + 1).alias("end")))
+    # with less than one token's credit most rounds send nothing, so the tokens are listed instead
+    singles = F.transform(F.sequence("at", last), lambda t: F.struct((F.ceil((t + 1) / c) - 1).alias("round"), t.alias("at"), (t + 1).alias("end")))
+    sent = F.filter(F.when(c >= 1, rounds).otherwise(singles), lambda x: x["end"] > x["at"])
+    packets = marked.select("part", "row", "source", F.col("at").alias("head"), F.explode(sent).alias("sent"))
+    packets = packets.select("part", "row", "source", (F.col("sent.at") - F.col("head")).alias("start"), (F.col("sent.end") - F.col("sent.at")).alias("n"), F.col("sent.at").alias("at"), F.col("sent.round").alias("round"))
     # the stream's order is (round, source, queue place); both prefix sums run over sums, block by block
     sends = packets.groupBy("source", "round").agg(F.sum("n").alias("tokens"), F.min("at").alias("first")).withColumn("block", F.floor(F.col("round") / BLOCK))
     blocks = sends.groupBy("block").agg(F.sum("tokens").alias("block_tokens"))

@@ -218,7 +218,7 @@ def test_packing_is_lossless_and_full(docs):
 
 
 def test_packing_keeps_the_mixture(docs):
-    rows = sorted(pieces_of(docs, segment=256, quantum=2048), key=lambda r: (r.sequence_id, r.offset))
+    rows = sorted(pieces_of(docs, quantum=4096), key=lambda r: (r.sequence_id, r.offset))
     total, share = sum(r.length for r in rows), Counter()
     for r in rows:
         share[r.source] += r.length
@@ -227,8 +227,8 @@ def test_packing_keeps_the_mixture(docs):
         sent[r.source] += r.length
         so_far += r.length
         for s in share:
-            # deficits carry: never further from the target than a round's credit and a packet
-            assert abs(sent[s] - so_far * share[s] / total) <= 2048 * share[s] / total + 256 + 2048
+            # deficits carry: never further from the target than a round's credit and a token of each source
+            assert abs(sent[s] - so_far * share[s] / total) <= 4096 * share[s] / total + len(share) + 1
     assert packing.pack(docs.limit(0), FILE, P.PATTERN, 1).count() == 0
 
 
@@ -244,8 +244,8 @@ def test_packing_fills_each_window_to_the_mixture(spark):
     assert len(full) > 100
     distances = sorted(sum(abs(c[s] / 2048 - share[s]) for s in share) / 2 for c in full)
     assert all(c["hot"] > 0 for c in full)
-    # a packet more or less of each source at the most, and half of that at the median
-    assert distances[len(full) // 2] <= 0.11 and distances[-1] <= 7 * 64 / 2048
+    # a window is one round but for a token of each source
+    assert distances[-1] <= 7 * 2 / 2048
 
 
 def test_packing_weights_lead(spark, docs):

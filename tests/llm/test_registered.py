@@ -168,31 +168,33 @@ def test_op1_mixture_packing(spark, odd):
     assert sorted(windows) == list(range(len(windows))) and sum(n != 2048 for n in sizes.values()) <= 11 and all(n & (n - 1) == 0 for n in sizes.values())
 
 
-def test_packing_is_deficit_round_robin(spark):
-    """The packed stream against a round robin that is walked round by round, with given weights and default settings."""
+@pytest.mark.parametrize("weights", [{"a": 5.0, "b": 1.0, "c": 2.0}, {"a": 512.0, "b": 0.125, "c": 383.875}])
+def test_packing_is_deficit_round_robin(spark, weights):
+    """The packed stream against a round robin that is walked round by round, with default settings; one source may earn less than a token a round."""
+    from collections import deque
+    from fractions import Fraction
+
     from pairframe.llm import packing
 
     rows = [(k, " ".join(f"word{(k * 7 + j) % 50}" for j in range(k * 37 % 400)), "abc"[k % 3]) for k in range(120)]
-    weights = {"a": 5.0, "b": 1.0, "c": 2.0}
     table = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
     got = packing.pack(table, P.path("byte_bpe_50k.json"), P.PATTERN, 1, weights=spark.createDataFrame(list(weights.items()), "source string, weight double")).collect()
     stream = [(r.doc_id, r.start + k) for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)) for k in range(r.length)]
     enc = packing.encoder(P.path("byte_bpe_50k.json"), P.PATTERN)
-    queue = {s: [(i, at, min(64, n - at)) for i, t, source in rows if source == s for n in [len(enc.encode_ordinary(t)) + 1] for at in range(0, n, 64)] for s in weights}
-    deficit, want = dict.fromkeys(weights, 0.0), []
+    queue = {s: deque((i, k) for i, t, source in rows if source == s for k in range(len(enc.encode_ordinary(t)) + 1)) for s in weights}
+    deficit, want = dict.fromkeys(weights, Fraction(0)), []
     while any(queue.values()):
         for s in sorted(weights):
-            deficit[s] += weights[s] / 8.0 * 2048
-            while queue[s] and queue[s][0][2] <= deficit[s] + 1e-9:
-                i, at, n = queue[s].pop(0)
-                deficit[s] -= n
-                want += [(i, at + k) for k in range(n)]
+            deficit[s] += Fraction(int(weights[s] * 1024), int(sum(weights.values()) * 1024)) * 2048
+            while queue[s] and deficit[s] >= 1:
+                want.append(queue[s].popleft())
+                deficit[s] -= 1
     assert stream == want
-    # as long as all queues last, every window has each source's share but for a packet at either end
+    # as long as all queues last, every window has each source's share but for a token of each source at either end
     source = {i: s for i, _, s in rows}
     for w in range(3):
         mix = Counter(source[i] for i, _ in stream[2048 * w : 2048 * (w + 1)])
-        assert all(abs(mix[s] - 2048 * weights[s] / 8) <= 2 * 64 for s in weights)
+        assert all(abs(mix[s] - 2048 * weights[s] / sum(weights.values())) <= 4 for s in weights)
 
 
 def test_op4_quality_classifier(spark, odd, monkeypatch):
