@@ -34,6 +34,8 @@ from pairframe.llm.common import stored
 #: A round fills one window, so the quantum is the length.
 LENGTH, QUANTUM = 2048, 2048
 BLOCK = 1024
+#: Tokens that are cut into pieces at a time, a longer document excepted.
+CUT_TOKENS = 1 << 21
 
 
 @lru_cache(maxsize=2)
@@ -154,30 +156,42 @@ def pack(
     for bit in range(length.bit_length(), -1, -1):
         if total % length >> bit & 1:
             edges.append(edges[-1] + (1 << bit))
-    cuts = np.array(edges, np.int64)
+    full, tail = total // length, np.array([*edges, np.iinfo(np.int64).max], np.int64)
+    begins = lambda w: np.where(w < full, w * length, tail[np.clip(w - full, 0, len(tail) - 1)])
+    window = lambda at: np.where(at < tail[0], at // length, full + np.searchsorted(tail, at, "right") - 1)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        doc_id, source, n, data, packets = batch.columns
+        n, runs = n.to_numpy(), packets.flatten()
+        start, size, place = (runs.field(k).to_numpy() for k in range(3))
+        doc = np.repeat(np.arange(batch.num_rows), packets.value_lengths().to_numpy())
+        order = np.lexsort((start, doc))
+        doc, start, size, place = doc[order], start[order], size[order], place[order]
+        first = window(place)
+        many = window(place + size - 1) - first + 1
+        at = np.repeat(np.arange(len(doc)), many)
+        seq = first[at] + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+        low = np.maximum(place[at], begins(seq))
+        take = np.minimum(place[at] + size[at], begins(seq + 1)) - low
+        # by document and start the pieces are the batch's ids one after the other
+        offsets = data.buffers()[1]
+        bounds = np.frombuffer(offsets, np.int32)[data.offset : data.offset + batch.num_rows + 1]
+        raw = np.frombuffer(data.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+        flat = raw.view("<u2" if len(raw) == 2 * n.sum() else "<u4").astype("<u4")
+        ends = np.concatenate([[0], np.cumsum(4 * take)]).astype(np.int32)
+        ids = pa.Array.from_buffers(pa.binary(), len(take), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+        rows = pa.array(doc[at])
+        numbers = [pa.array(c, pa.int64()) for c in (start[at] + low - place[at], take, n[doc[at]], seq, low - begins(seq))]
+        return pa.RecordBatch.from_arrays([doc_id.take(rows), source.take(rows), *numbers, ids], ["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                out: list[list] = [[] for _ in range(8)]
-                for doc_id, source, n, data, packets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    ids = np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype("<u4").tobytes()
-                    for p in packets:
-                        start, place, end = p["start"], p["place"], p["place"] + p["n"]
-                        while place < end:
-                            if place < cuts[0]:
-                                seq, first = divmod(place, length)
-                                first, stop = seq * length, (seq + 1) * length
-                            else:
-                                k = int(np.searchsorted(cuts, place, "right")) - 1
-                                seq, first, stop = int(cuts[0]) // length + k, int(cuts[k]), int(cuts[k + 1])
-                            take = min(end, stop) - place
-                            for column, value in zip(out, (doc_id, source, start, take, n, seq, place - first, ids[4 * start : 4 * (start + take)]), strict=True):
-                                column.append(value)
-                            place, start = place + take, start + take
-                kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            upto, at = np.cumsum(whole.column(2).to_numpy()), 0
+            while at < whole.num_rows:
+                limit = (upto[at - 1] if at else 0) + CUT_TOKENS
+                stop = max(at + 1, int(np.searchsorted(upto, limit, "right")))
+                yield cut(whole.slice(at, stop - at))
+                at = stop
 
     joined = tokens.join(placed, ["part", "row"]).select("doc_id", "source", "n", "ids", "packets")
     return joined.mapInArrow(pieces, "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
