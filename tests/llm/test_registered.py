@@ -283,3 +283,42 @@ def test_op10_katz_scoring(spark, odd):
         base = sum(log10((count[x] + 1) / (total + len(count) + 1)) for x in w)
         mine = [r for r in got[i] if isclose(r.base_score, base, rel_tol=1e-9)]
         assert len(mine) == n and all((r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(w), sum(count[x] > 0 for x in w), total) and r.score < 0 for r in mine), i
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd):
+    """Each stage on nulls, repeats, long texts and clashing columns: what stays is right, columns and other rows are as they were."""
+    import corpus_pipeline as pipe
+
+    fold = lambda t: (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    rows = lambda df: Counter((r.doc_id, r.text, r.source, r.score) for r in df.select("doc_id", "text", "source", "score").collect())
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    made = {name: stage(spark, docs, odd) for name, stage in pipe.STAGES}
+    whole = rows(docs)
+    for name in list(made)[:-1]:
+        assert made[name].dtypes == docs.dtypes, name
+    good, unlike, near = (rows(made[n]) for n in ("quality rules", "exact dedup", "n-gram Jaccard join"))
+    assert not good - whole and all(len(WORD.findall(t or "")) >= 50 for _, t, _, _ in good)
+    # one row of equal texts, the one with the largest id
+    top = {}
+    for i, t, _, _ in whole:
+        top[fold(t)] = max(top.get(fold(t), -1), -1 if i is None else i)
+    assert not unlike - whole and {fold(t): -1 if i is None else i for i, t, _, _ in unlike} == top and sum(unlike.values()) == len(top)
+    # the least id of every component, and no other
+    least = {r.component_id for r in queries.op7_jaccard_join(spark, odd).collect()}
+    assert not near - whole and {i for i, *_ in near} == least
+    # every row stays, secrets are gone, and only rows with secrets differ
+    masked = rows(made["secret scans"])
+    bad = {r.doc_id for r in queries.op5_secret_scans(spark, odd).filter("spans <> ''").collect()}
+    assert sum(masked.values()) == sum(whole.values()) and {i for i, *_ in (masked - whole)} <= bad
+    assert all(not base_spans(t or "") or "[SECRET]" in t for _, t, _, _ in masked) and any("[SECRET]" in (t or "") for _, t, _, _ in masked)
+    pieces = made["packing"].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id for r in pieces} == {i for i, *_ in whole}
+
+
+def test_pipeline_of_empty_tables(spark, bare):
+    import corpus_pipeline as pipe
+
+    docs = spark.read.parquet(f"{bare}/documents.parquet")
+    for name, stage in pipe.STAGES:
+        assert stage(spark, docs, bare).count() == 0, name
+    assert pipe.run(spark, bare).count() == 0
