@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairframe.operators.select import row_at
+from pairframe.sources import written
 
 
 def split_by_season(df: DataFrame, season: str = "season", time: str = "date", key: str = "game_id") -> DataFrame:
@@ -20,9 +23,9 @@ def split_by_season(df: DataFrame, season: str = "season", time: str = "date", k
     if len(seasons) < 2:
         return split_by_position(df, time, key)
     if len(seasons) == 2:
-        early = split_by_position(df.filter(~F.col(season).eqNullSafe(F.lit(seasons[1]))), time, key, 0.70, 0.30)
-        last = df.filter(F.col(season) == seasons[1]).withColumn("split", F.lit("test"))
-        return early.withColumn("split", F.when(F.col("split") == "train", "train").otherwise("val")).unionByName(last)
+        last = F.col(season).eqNullSafe(F.lit(seasons[1]))
+        (early,) = _before(df.filter(~last), time, key, [0.70])
+        return df.withColumn("split", F.when(last, "test").when(early, "train").otherwise("val"))
     tests = 1 if len(seasons) == 3 else 2
     name = F.when(F.col(season).isin(seasons[-tests:]), "test").when(F.col(season) == seasons[-tests - 1], "val")
     return df.withColumn("split", name.otherwise("train"))
@@ -35,6 +38,12 @@ def split_by_position(df: DataFrame, time: str, key: str, train: float = 0.70, v
     other row is compared with them: nothing is sorted or numbered. Null times
     come first; rows equal in time and key are in one part.
     """
-    n = df.count()
-    early, later = (row_at(df, [time, key], int(share * n)) for share in (train, train + val))
+    early, later = _before(df, time, key, [train, train + val])
     return df.withColumn("split", F.when(early, "train").when(later, "val").otherwise("test"))
+
+
+def _before(df: DataFrame, time: str, key: str, shares: Sequence[float]) -> list[Column]:
+    """Whether a row lies before the place that is this share of all rows. The passes that find the places read two columns, written once: df itself is worked out for these, and not again."""
+    narrow = written(df.select(time, key), "order")
+    n = narrow.count()
+    return [row_at(narrow, [time, key], int(share * n)) for share in shares]
