@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairframe.sources import counts, looked_up, pieces
+
 TEAMS = 25
 
 
@@ -12,15 +14,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _rows(spark: SparkSession, d: str) -> dict[str, int]:
+    return counts({t: table(spark, d, t) for t in ("lineitem", "orders", "customer", "supplier")})
+
+
+def _orders(spark: SparkSession, d: str, rows: dict[str, int]) -> DataFrame:
+    """Orders with their customer's nation, dealt out by their key like the lines."""
+    customers = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    found = looked_up(table(spark, d, "orders"), customers, "o_custkey", "c_custkey", rows["orders"], rows["customer"])
+    return found.repartition(pieces(spark, rows["lineitem"]), "o_orderkey")
+
+
+def _suppliers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+
+
 def matches(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as events: customer's nation at home, nation of the first line's supplier away; scores are quantities of even and odd lines."""
-    even = F.col("l_linenumber") % 2 == 0
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+    """Orders as events: customer's nation at home, nation of the first line's supplier away; scores are quantities of even and odd lines.
+
+    Lines and orders are dealt out by the order in pieces of a fixed size, so
+    what is worked out by event needs no other shuffle.
+    """
+    even, rows = F.col("l_linenumber") % 2 == 0, _rows(spark, d)
+    lines = table(spark, d, "lineitem").repartition(pieces(spark, rows["lineitem"]), "l_orderkey").groupBy("l_orderkey").agg(
         F.min_by("l_suppkey", F.struct("l_linenumber", "l_suppkey")).alias("l_suppkey"),
         F.sum(F.when(even, F.col("l_quantity"))).alias("home_score"), F.sum(F.when(~even, F.col("l_quantity"))).alias("away_score"),
     )
-    games = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    games = games.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    games = _orders(spark, d, rows).join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    games = looked_up(games, _suppliers(spark, d), "l_suppkey", "s_suppkey", rows["orders"], rows["supplier"])
     return games.select(
         F.col("o_orderkey").alias("game_id"), F.col("o_orderdate").alias("date"), F.year("o_orderdate").alias("season"),
         F.floor((F.dayofyear("o_orderdate") - 1) / 7).cast("int").alias("_w"), F.col("o_orderpriority").alias("pool"),
@@ -62,9 +83,10 @@ sides AS (
 
 
 def plays(spark: SparkSession, d: str) -> DataFrame:
-    """Lines as plays between the nations of supplier (null for some) and customer."""
-    lines = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    lines = lines.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    """Lines as plays between the nations of supplier (null for some) and customer, dealt out by their order as ``matches`` are."""
+    rows = _rows(spark, d)
+    lines = looked_up(table(spark, d, "lineitem"), _suppliers(spark, d), "l_suppkey", "s_suppkey", rows["lineitem"], rows["supplier"])
+    lines = lines.repartition(pieces(spark, rows["lineitem"]), "l_orderkey").join(_orders(spark, d, rows), F.col("l_orderkey") == F.col("o_orderkey"))
     one = lambda sql: F.expr(f"cast({sql} as int)")
     return lines.select(
         F.col("l_orderkey").alias("game_id"), F.year("o_orderdate").alias("season"), one("floor((dayofyear(o_orderdate) - 1) / 7) + 1").alias("week"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,6 +91,33 @@ def write_feature_names(df: DataFrame, path: str, exclude: Iterable[str] = ()) -
     names.coalesce(1).sortWithinPartitions("name").write.mode("overwrite").text(path)
 
 
+#: Rows of a table that one task holds where tables are dealt out by a key.
+PIECE = 250_000
+#: Rows up to which a table of a key and a few numbers is broadcast.
+SMALL = 500_000
+
+
+def pieces(spark: SparkSession, rows: int, each: int = PIECE) -> int:
+    """In how many parts a table of so many rows is dealt out: a task's rows, and so its memory, stay the same however large the table; a small table has a part a core."""
+    cores = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, cores, -(-rows // each))
+
+
+def counts(tables: Mapping[str, DataFrame]) -> dict[str, int]:
+    """The rows of tables, from one job that reads no column."""
+    found = [df.agg(F.count("*").alias("n")).withColumn("name", F.lit(name)) for name, df in tables.items()]
+    return {r.name: r.n for r in reduce(DataFrame.unionAll, found).collect()}
+
+
+def looked_up(rows: DataFrame, of: DataFrame, left: str, right: str, n_rows: int, n_of: int) -> DataFrame:
+    """rows joined with a table of one row a key: by broadcast if it is small, else both are dealt out by the key."""
+    on = F.col(left) == F.col(right)
+    if n_of <= SMALL:
+        return rows.join(F.broadcast(of), on)
+    n = pieces(rows.sparkSession, max(n_rows, n_of))
+    return rows.repartition(n, left).join(of.repartition(n, right), on)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

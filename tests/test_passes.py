@@ -1,8 +1,11 @@
 """How often tables are worked out, and what is shuffled: splits by place, form of both sides, week figures of both sides."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from pairframe import sources
 from pairframe.operators import form, split
 from pairframe.plans import queries, training
 from test_form import events, expected  # noqa: F401
@@ -56,3 +59,37 @@ def test_matches_are_not_shuffled_for_their_weeks(spark, sf, monkeypatch, make):
             assert plan(after).count("BroadcastExchange") == plan(before).count("BroadcastExchange") + 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def parts_of(df):
+    """Parts that exchanges deal out, as the plan names them."""
+    return [int(n) for n in re.findall(r"Exchange hashpartitioning\([^)]*?, (\d+)\)", plan(df))]
+
+
+@pytest.mark.parametrize("make", [queries.q_play_agg, queries.q_play_points, queries.q_proxy_fill])
+def test_parts_follow_the_size_of_the_table(spark, sf, monkeypatch, make):
+    """Every task holds the same number of rows however large the table: rows by key are dealt out in pieces, not in as many parts as the session names."""
+    spans = []
+    monkeypatch.setattr(form, "span", lambda *a, span=form.span: spans.append(span(*a)) or spans[-1])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    want = sorted(map(str, make(spark, sf).collect()))
+    try:
+        monkeypatch.setattr(sources, "PIECE", 50)
+        monkeypatch.setattr(sources.pieces, "__defaults__", (50,))
+        monkeypatch.setattr(sources, "SMALL", 5)
+        found = make(spark, sf)
+        lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+        assert parts_of(found).count(-(-lines // 50)) >= 2 and 4 not in parts_of(found)[:1]
+        assert make is not queries.q_ewma or spans[-1] < spans[0] == 90
+        assert sorted(map(str, found.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("make", [queries.q_play_agg, queries.q_proxy_fill])
+def test_plays_are_summed_up_where_they_were_joined(spark, sf, make):
+    """Groups of wide sums are not built in tasks of raw rows, which hold as many groups as rows."""
+    lines = plan(make(spark, sf)).splitlines()
+    first = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line or "BroadcastHashJoin [l_orderkey" in line or "BroadcastHashJoin [o_orderkey" in line)
+    assert sum("HashAggregate" in line for line in lines[:first]) == 2 and not any("Exchange" in line for line in lines[:first])
