@@ -6,7 +6,7 @@ otherwise in no order.
 
 Few entities with many rows each would leave most tasks without work. So every
 function takes ``block``, a whole number that never falls along the order (see
-``time_block``): an entity's rows are then dealt out block by block, and what a
+``time_block``), or ``Blocks``: an entity's rows are then dealt out block by block, and what a
 block needs of the ones before it is worked out from small rows, one or a few
 a block. Results are the same; null entities and null blocks (which come first)
 count as values.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,45 +32,64 @@ def time_block(time: Column | str, days: int = 90) -> Column:
     return F.floor(F.unix_date(F.to_date(time)) / days)
 
 
+@dataclass(frozen=True)
+class Blocks:
+    """Blocks of rows, and in how many parts the (entity, block)s are dealt out: with parts and blocks that follow the table's size, a task's rows stay the same."""
+
+    number: Column
+    parts: int | None = None
+
+    def deal(self, df: DataFrame) -> DataFrame:
+        return df.repartition(self.parts, *KEY) if self.parts else df
+
+
 def _spec(entity: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*entity).orderBy(*order)
 
 
-def _dealt(df: DataFrame, entity: Sequence[str], block: Column) -> DataFrame:
+def _blocks(block: Column | Blocks) -> Blocks:
+    return block if isinstance(block, Blocks) else Blocks(block)
+
+
+def _keyed(df: DataFrame, entity: Sequence[str], block: Column | Blocks) -> DataFrame:
     """df with KEY: the entity as one value that is never null, and the block."""
-    return df.select("*", F.struct(*entity).alias("__entity"), F.coalesce(block.cast("long"), F.lit(FIRST)).alias("__block"))
+    return df.select("*", F.struct(*entity).alias("__entity"), F.coalesce(_blocks(block).number.cast("long"), F.lit(FIRST)).alias("__block"))
+
+
+def _dealt(df: DataFrame, entity: Sequence[str], block: Column | Blocks) -> DataFrame:
+    return _blocks(block).deal(_keyed(df, entity, block))
 
 
-def with_halo(df: DataFrame, entity: Sequence[str], order: Sequence[str], block: Column, rows: int) -> DataFrame:
+def with_halo(df: DataFrame, entity: Sequence[str], order: Sequence[str], block: Column | Blocks, rows: int) -> DataFrame:
     """df with KEY and __halo: each block of an entity, and as halo the entity's ``rows`` rows before it.
 
     Those lie among the last ``rows`` rows of the earlier blocks. Only such rows
     (cut down before the shuffle) meet by entity: one of them goes to every
     block that begins within the next ``rows`` of them.
     """
-    own = _dealt(df, entity, block).withColumn("__halo", F.lit(False))
+    own = _keyed(df, entity, block).withColumn("__halo", F.lit(False))
     latest = Window.partitionBy(*KEY).orderBy(*[F.col(o).desc_nulls_last() for o in order])
     tail = own.withColumn("__back", F.row_number().over(latest)).filter(F.col("__back") <= rows).drop("__back")
     along = Window.partitionBy("__entity").orderBy("__block", *order)
     tail = tail.withColumn("__begins", F.coalesce(F.lag("__block").over(along) != F.col("__block"), F.lit(True)))
     tail = tail.withColumn("__to", F.collect_list(F.when(F.col("__begins"), F.col("__block"))).over(along.rowsBetween(1, rows)))
     halo = tail.select(*df.columns, "__entity", F.explode("__to").alias("__block"), F.lit(True).alias("__halo"))
-    return own.unionByName(halo)
+    return _blocks(block).deal(own.unionByName(halo))
 
 
-def _within(df: DataFrame, entity: Sequence[str], order: Sequence[str], block: Column | None, rows: int, columns: Callable[[WindowSpec], list[Column]]) -> DataFrame:
+def _within(df: DataFrame, entity: Sequence[str], order: Sequence[str], block: Column | Blocks | None, rows: int, columns: Callable[[WindowSpec], list[Column]]) -> DataFrame:
     """df with columns over frames that reach ``rows`` rows back."""
     if block is None:
         return df.select("*", *columns(_spec(entity, order)))
     return with_halo(df, entity, order, block, rows).select("*", *columns(_spec(KEY, order))).filter(~F.col("__halo")).drop(*KEY, "__halo")
 
 
-def rolling_mean(df: DataFrame, entity: Sequence[str], order: Sequence[str], columns: Sequence[str], windows: Sequence[int] = (1, 3, 5, 10), block: Column | None = None) -> DataFrame:
+def rolling_mean(df: DataFrame, entity: Sequence[str], order: Sequence[str], columns: Sequence[str], windows: Sequence[int] = (1, 3, 5, 10), block: Column | Blocks | None = None) -> DataFrame:
     """{column}_r{k}: mean of the k rows before, nulls skipped, null if none has a value."""
     return _within(df, entity, order, block, max(windows), lambda w: [F.avg(c).over(w.rowsBetween(-k, -1)).alias(f"{c}_r{k}") for c in columns for k in windows])
 
 
-def expanding_mean(df: DataFrame, entity: Sequence[str], order: Sequence[str], columns: Sequence[str], reset_by: Sequence[str] = (), suffix: str = "_avg", block: Column | None = None) -> DataFrame:
+def expanding_mean(df: DataFrame, entity: Sequence[str], order: Sequence[str], columns: Sequence[str], reset_by: Sequence[str] = (), suffix: str = "_avg", block: Column | Blocks | None = None) -> DataFrame:
     """Mean of all rows before, from the start or from the start of each reset_by group.
 
     In blocks: the sums of the block so far and those of the blocks before,
@@ -89,11 +109,11 @@ def expanding_mean(df: DataFrame, entity: Sequence[str], order: Sequence[str], c
     return own.join(before, KEY).select(*df.columns, *means)
 
 
-def previous(df: DataFrame, entity: Sequence[str], order: Sequence[str], columns: Sequence[str], block: Column | None = None) -> DataFrame:
+def previous(df: DataFrame, entity: Sequence[str], order: Sequence[str], columns: Sequence[str], block: Column | Blocks | None = None) -> DataFrame:
     return _within(df, entity, order, block, 1, lambda w: [F.lag(c).over(w).alias(f"{c}_prev") for c in columns])
 
 
-def gap_days(df: DataFrame, entity: Sequence[str], order: Sequence[str], time: str, default: int = 7, name: str = "rest_days", block: Column | None = None) -> DataFrame:
+def gap_days(df: DataFrame, entity: Sequence[str], order: Sequence[str], time: str, default: int = 7, name: str = "rest_days", block: Column | Blocks | None = None) -> DataFrame:
     """Whole spans of 24 hours since the row before; default for the first."""
     gap = lambda w: F.timestamp_diff("DAY", F.lag(time).over(w), F.col(time))
     return _within(df, entity, order, block, 1, lambda w: [F.coalesce(gap(w), F.lit(default)).cast("long").alias(name)])
@@ -106,7 +126,7 @@ def _reach(alpha: float) -> int:
     return max(1, math.ceil(math.log(1e-17) / math.log(slowest)))
 
 
-def ewma(df: DataFrame, entity: Sequence[str], order: Sequence[str], columns: Sequence[str], alpha: float = 1 / 3, suffix: str = "_ewma", block: Column | None = None) -> DataFrame:
+def ewma(df: DataFrame, entity: Sequence[str], order: Sequence[str], columns: Sequence[str], alpha: float = 1 / 3, suffix: str = "_ewma", block: Column | Blocks | None = None) -> DataFrame:
     """Exponentially weighted mean of the rows before: y = (1 - alpha) y + alpha x, with alpha of 0.03 to 1.
 
     The first value seeds it. Nulls leave y as it is but age it: after g rows its

@@ -41,9 +41,11 @@ def off_ties(df: DataFrame, digits: int = 6) -> DataFrame:
     return rounded(df.select([(F.col(c) + 1e-9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]), digits)
 
 
-def quarter() -> Column:
-    """Blocks of lagged statistics: few teams with many rows each are dealt out by spans of 90 days."""
-    return lagged.time_block("date")
+def spans(spark: SparkSession, d: str) -> lagged.Blocks:
+    """Blocks of lagged statistics: few teams with many rows each are dealt out by spans of 90 days, or of fewer where a span of all teams would have more rows than a task holds."""
+    orders = v.table(spark, d, "orders")
+    days, n = form.span(orders, "o_orderdate", sources.PIECE), orders.count()
+    return lagged.Blocks(lagged.time_block("date", days), sources.pieces(spark, 2 * n))
 
 
 def sides(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +97,7 @@ def q_upcoming(spark: SparkSession, d: str) -> DataFrame:
            (home_rest_days < 7)::INT AS short_week_home, (away_rest_days < 7)::INT AS short_week_away FROM wide"""
 )
 def q_gap_days(spark: SparkSession, d: str) -> DataFrame:
-    gaps = lagged.gap_days(sides(spark, d), ["team"], ORDER, "date", block=quarter())
+    gaps = lagged.gap_days(sides(spark, d), ["team"], ORDER, "date", block=spans(spark, d))
     wide = reshape.widen(gaps, "game_id", ["rest_days"])
     home, away = F.col("home_rest_days"), F.col("away_rest_days")
     return wide.select(
@@ -110,7 +112,7 @@ def _frames(columns: list[str], windows: list[int], table: str, entity: str, ord
 
 @register(v.with_views(M, S) + "SELECT game_id, team, " + _frames(["points_for", "points_against"], [1, 3, 5, 10], "sides", "team", "date, game_id"))
 def q_rolling(spark: SparkSession, d: str) -> DataFrame:
-    rolled = lagged.rolling_mean(sides(spark, d), ["team"], ORDER, ["points_for", "points_against"], block=quarter())
+    rolled = lagged.rolling_mean(sides(spark, d), ["team"], ORDER, ["points_for", "points_against"], block=spans(spark, d))
     return rounded(rolled.select("game_id", "team", *[c for c in rolled.columns if "_r" in c and c.startswith("points")]))
 
 
@@ -121,19 +123,19 @@ def _expanding(partition: str) -> str:
 
 @register(_expanding("team"))
 def q_expanding(spark: SparkSession, d: str) -> DataFrame:
-    out = lagged.expanding_mean(sides(spark, d), ["team"], ORDER, ["points_for", "points_against"], block=quarter())
+    out = lagged.expanding_mean(sides(spark, d), ["team"], ORDER, ["points_for", "points_against"], block=spans(spark, d))
     return off_ties(out.select("game_id", "team", "points_for_avg", "points_against_avg"))
 
 
 @register(_expanding("team, season"))
 def q_expanding_reset(spark: SparkSession, d: str) -> DataFrame:
-    out = lagged.expanding_mean(sides(spark, d), ["team"], ORDER, ["points_for", "points_against"], ["season"], block=quarter())
+    out = lagged.expanding_mean(sides(spark, d), ["team"], ORDER, ["points_for", "points_against"], ["season"], block=spans(spark, d))
     return off_ties(out.select("game_id", "team", "points_for_avg", "points_against_avg"))
 
 
 @register(v.with_views(M, S) + "SELECT game_id, team, lag(points_for) OVER (PARTITION BY team ORDER BY date, game_id) AS points_for_prev FROM sides")
 def q_previous(spark: SparkSession, d: str) -> DataFrame:
-    return lagged.previous(sides(spark, d), ["team"], ORDER, ["points_for"], block=quarter()).select("game_id", "team", "points_for_prev")
+    return lagged.previous(sides(spark, d), ["team"], ORDER, ["points_for"], block=spans(spark, d)).select("game_id", "team", "points_for_prev")
 
 
 @register(
@@ -147,7 +149,7 @@ def q_previous(spark: SparkSession, d: str) -> DataFrame:
     SELECT game_id, team, round(before, 6) AS points_for_ewma FROM f"""
 )
 def q_ewma(spark: SparkSession, d: str) -> DataFrame:
-    out = lagged.ewma(sides(spark, d), ["team"], ORDER, ["points_for"], lagged.span_alpha(3), block=quarter())
+    out = lagged.ewma(sides(spark, d), ["team"], ORDER, ["points_for"], lagged.span_alpha(3), block=spans(spark, d))
     return rounded(out.select("game_id", "team", "points_for_ewma"))
 
 
@@ -163,7 +165,7 @@ _FORM = ["points_for_r3", "points_for_r5", "points_against_r3", "points_against_
 def q_basic_form(spark: SparkSession, d: str) -> DataFrame:
     """Each side's recent form before every event, and the difference."""
     m = v.matches(spark, d)
-    rolled = lagged.rolling_mean(reshape.match_sides(m), ["team"], ORDER, ["points_for", "points_against"], (3, 5), quarter())
+    rolled = lagged.rolling_mean(reshape.match_sides(m), ["team"], ORDER, ["points_for", "points_against"], (3, 5), spans(spark, d))
     both = reshape.attach_both_sides(m.select("game_id", "home_team", "away_team"), rolled, ["game_id"], _FORM)
     return rounded(fn.pair_differences(both, exclude=["team"]).select("game_id", "home_team", "away_team", *[f"{p}_{c}" for p in ("home", "away", "diff", "abs_diff") for c in _FORM]))
 
@@ -497,7 +499,7 @@ _AUDIT = v.with_views(M, S) + """, n AS (SELECT *, row_number() OVER (PARTITION
 
 @register(_AUDIT.replace("{frame}", "3 PRECEDING AND 1 PRECEDING"))
 def q_leak_audit(spark: SparkSession, d: str) -> DataFrame:
-    rolled = lagged.rolling_mean(reshape.match_sides(v.matches(spark, d)), ["team"], ORDER, ["points_for"], (3,), quarter())
+    rolled = lagged.rolling_mean(reshape.match_sides(v.matches(spark, d)), ["team"], ORDER, ["points_for"], (3,), spans(spark, d))
     return quality.leak_audit(rolled, "team", ORDER, "points_for", "points_for_r3", 3)
 
 
@@ -673,7 +675,7 @@ def q_week_sides(spark: SparkSession, d: str) -> DataFrame:
 @register(v.with_views(M, S) + "SELECT game_id, team, " + _frames(["points_for", "points_against"], [3], "sides", "team", "date, game_id"))
 def q_clean_features(spark: SparkSession, d: str) -> DataFrame:
     """Without what the event itself brought."""
-    rolled = lagged.rolling_mean(sides(spark, d), ["team"], ORDER, ["points_for", "points_against"], (3,), quarter())
+    rolled = lagged.rolling_mean(sides(spark, d), ["team"], ORDER, ["points_for", "points_against"], (3,), spans(spark, d))
     clean = quality.drop_same_event(rolled, ["points_for", "points_against"], prefixes=("",))
     return rounded(clean.drop("date", "season", "week", "pool", "opponent", "is_home"))
 

@@ -66,7 +66,7 @@ def parts_of(df):
     return [int(n) for n in re.findall(r"Exchange hashpartitioning\([^)]*?, (\d+)\)", plan(df))]
 
 
-@pytest.mark.parametrize("make", [queries.q_play_agg, queries.q_play_points, queries.q_proxy_fill])
+@pytest.mark.parametrize("make", [queries.q_play_agg, queries.q_play_points, queries.q_proxy_fill, queries.q_ewma])
 def test_parts_follow_the_size_of_the_table(spark, sf, monkeypatch, make):
     """Every task holds the same number of rows however large the table: rows by key are dealt out in pieces, not in as many parts as the session names."""
     spans = []
