@@ -93,3 +93,12 @@ def test_plays_are_summed_up_where_they_were_joined(spark, sf, make):
     lines = plan(make(spark, sf)).splitlines()
     first = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line or "BroadcastHashJoin [l_orderkey" in line or "BroadcastHashJoin [o_orderkey" in line)
     assert sum("HashAggregate" in line for line in lines[:first]) == 2 and not any("Exchange" in line for line in lines[:first])
+
+
+def test_training_rows_are_formed_once_and_read_from_files(spark, sf, monkeypatch):
+    """Both sides' form is not worked out again for the medians, nor are rows shuffled when a model reads them."""
+    formed = []
+    monkeypatch.setattr(form.Form, "attach", lambda self, *a, attach=form.Form.attach: formed.append(a) or attach(self, *a))
+    rows, features = training.training_rows(spark, sf)
+    assert len(formed) == 1 and "Exchange" not in plan(rows) and "FileScan parquet" in plan(rows) and len(features) > 100
+    assert rows.filter(" or ".join(f"`{c}` is null" for c in features)).count() == 0 < rows.filter("split = 'train'").count()

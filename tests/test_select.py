@@ -1,6 +1,7 @@
 """Exact order statistics, positional splits and as-of states without global sorts or spread intervals."""
 
 import datetime as dt
+import inspect
 import math
 import random
 from decimal import Decimal
@@ -94,3 +95,18 @@ def test_running_counts_over_parts_of_equal_depth(spark):
 
     won = sum(bisect.bisect_left(zeros, p) + (bisect.bisect_right(zeros, p) - bisect.bisect_left(zeros, p)) / 2 for p in ones)
     assert evaluate.auc(df).first()[0] == pytest.approx(won / len(ones) / len(zeros), abs=1e-12)
+
+
+def test_lower_middles_by_bits(spark, monkeypatch):
+    """As a plain sort says: both signs, zeros, NaN, infinities, whole numbers, nulls, ties, no values; and no sketch is shuffled."""
+    rng = random.Random(3)
+    odd = [0.0, -0.0, float("inf"), float("-inf"), 1e-310, -1e-310, 1e300]
+    rows = [(rng.gauss(0, 3), rng.choice([None, *odd]), rng.randrange(-5, 5), float("nan") if k % 3 else -1.5, None, rng.choice([0.1, 0.1, 0.30000000000000004]), 2.5 if k == 7 else None) for k in range(1001)]
+    for n in (1001, 1000, 0):
+        df = spark.createDataFrame(rows[:n], "a double, b double, c int, d double, e double, f double, g double").repartition(5)
+        found = quality.medians(df, df.columns, lower=True)
+        for k, c in enumerate(df.columns):
+            values = sorted((r[k] for r in rows[:n] if r[k] is not None), key=lambda x: (x != x, x))
+            want = float(values[(len(values) - 1) // 2]) if values else None
+            assert found[c] == want or (want != want and found[c] != found[c]), (n, c)
+    assert "percentile" not in inspect.getsource(quality) and quality.medians(df, [], lower=True) == {}
