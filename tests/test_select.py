@@ -116,8 +116,8 @@ def test_lower_middles_end_with_few_values_left(spark, monkeypatch):
     """A column is done, and not read again, once each task has few different values left; wide tables are read some columns at a time."""
     rng = random.Random(4)
     rows = [(rng.gauss(0, 3), float(rng.randrange(-5, 5)), None if k % 2 else rng.random(), 7.0) for k in range(6000)]
-    df, passes, counted = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(3), [], select._counted
-    monkeypatch.setattr(select, "_counted", lambda df, names, found, *more: passes.append([names[i] for i in found]) or counted(df, names, found, *more))
+    df, passes, counted = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(3), [], select._next_bits
+    monkeypatch.setattr(select, "_next_bits", lambda df, names, found, *more: passes.append([names[i] for i in found]) or counted(df, names, found, *more))
     monkeypatch.setattr(select, "SOME", 3)
     found = quality.medians(df, df.columns, lower=True)
     for k, c in enumerate(df.columns):
